@@ -14,10 +14,10 @@ def frequent_digests(rows: DataFrame, found: int, tracked: int) -> DataFrame:
     Each input partition is summed up by itself; the summaries merge in two steps,
     so that no task merges more than about the square root of their number.
     """
-    never = rows.sparkSession.range(1).select(F.lit("").alias("digest"))  # a summary of no rows can't be read
     part = F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")
-    summaries = rows.select("digest").union(never).groupBy(part).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("summary"))
-    top = summaries.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {found})").alias("top"))
+    summaries = rows.groupBy(part).agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("summary"))
+    # grouped by a constant, as a summary of no rows can't be read
+    top = summaries.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {found})").alias("top"))
     return top.select(F.explode("top").alias("one")).select(F.col("one.item").alias("digest"))
 
 
