@@ -10,6 +10,7 @@ from spanveil.llm import exact_dedup
 from spanveil.llm.base import table
 from spanveil.llm.exact_dedup import exact_duplicates
 from spanveil.llm.packing import pack
+from spanveil.llm.simhash import near_duplicates
 from spanveil.llm.token_counts import count_tokens
 
 
@@ -19,6 +20,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -32,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op6_token_counts, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
