@@ -12,6 +12,7 @@ from spanveil.llm.exact_dedup import exact_duplicates
 from spanveil.llm.packing import pack
 from spanveil.llm.simhash import near_duplicates
 from spanveil.llm.token_counts import count_tokens
+from spanveil.llm.toxicity import toxicity
 
 
 def tokenizer() -> str:
@@ -28,6 +29,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -37,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op6_token_counts, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op6_token_counts, op7_toxicity, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
