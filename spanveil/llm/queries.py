@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanveil.llm import exact_dedup
+from spanveil.llm import exact_dedup, line_dedup, url_filter
 from spanveil.llm.base import table
 from spanveil.llm.exact_dedup import exact_duplicates
 from spanveil.llm.packing import pack
+from spanveil.llm.quality import quality
 from spanveil.llm.simhash import near_duplicates
 from spanveil.llm.token_counts import count_tokens
 from spanveil.llm.toxicity import toxicity
@@ -25,6 +27,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_filter(pages, url_filter.mirrors(pages))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -42,8 +58,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op6_token_counts, op7_toxicity, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_token_counts, op7_toxicity, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_url_filters": url_filter.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
