@@ -42,6 +42,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return settled.unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that `exact_duplicates` keeps, with the columns of docs."""
+    gone = exact_duplicates(docs, id_col, text_col, **how).where("not kept").select("doc_id", "text_sha256").distinct()
+    return docs.join(gone, (docs[id_col] == gone.doc_id) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone.text_sha256), "left_anti")
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

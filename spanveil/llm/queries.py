@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import exact_dedup, line_dedup, url_filter
+from spanveil.llm import exact_dedup, line_dedup, mixing, url_filter
 from spanveil.llm.base import table
 from spanveil.llm.exact_dedup import exact_duplicates
 from spanveil.llm.packing import pack
@@ -49,6 +49,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -58,8 +63,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_token_counts, op7_toxicity, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_token_counts, op7_toxicity, op8_mixing, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op5_url_filters": url_filter.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op5_url_filters": url_filter.ORACLE, "op8_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}

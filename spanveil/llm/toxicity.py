@@ -154,6 +154,14 @@ def train(labelled: DataFrame, most_rows: int = 8000, most_grams: int = 20_000,
     return Model(weight, bias)
 
 
+def learnt(docs: DataFrame, labels: DataFrame, most_rows: int) -> Model:
+    """A model from the labels of documents that are not held out."""
+    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isNotNull())
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
+    texts = docs.select(F.col("doc_id"), whole().alias("text"))
+    return train(texts.join(F.broadcast(chosen), "doc_id"), most_rows)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from a half on) for each row; null texts are empty."""
     places = np.flatnonzero(model.weight)
@@ -170,6 +178,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, text_col: str = "text") -> DataFrame:
+    """The documents that are not predicted toxic, with the columns of docs; learns as `toxicity` does."""
+    model = learnt(docs, labels, most_rows)
+    places = np.flatnonzero(model.weight)
+    few, at = (places.astype(np.int32), model.weight[places].astype(np.float32), model.bias), docs.columns.index(text_col)
+
+    def run(batches):
+        weight = np.zeros(1 << TABLE_BITS)
+        weight[few[0]] = few[1]
+        own = Model(weight, few[2])
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(own.scores([x or "" for x in batch.column(at).to_pylist()]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Every fifth document, by a checksum of its id: never learnt from. False for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
@@ -183,8 +208,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 8000) -> DataF
     empty and score like any other without telling n-grams; ids may be null or repeat;
     texts are read whole; an empty table gives an empty result.
     """
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isNotNull())
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
-    texts = docs.select(F.col("doc_id"), whole().alias("text"))
-    model = train(texts.join(F.broadcast(chosen), "doc_id"), most_rows)
+    model = learnt(docs, labels, most_rows)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
