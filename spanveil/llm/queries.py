@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import exact_dedup, line_dedup, mixing, url_filter
+from spanveil.llm import exact_dedup, line_dedup, mixing, pii, url_filter
 from spanveil.llm.base import table
 from spanveil.llm.exact_dedup import exact_duplicates
 from spanveil.llm.packing import pack
@@ -23,6 +23,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_token_counts, op7_toxicity, op8_mixing, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_quality_rules, op4_line_dedup, op5_url_filters, op6_token_counts, op7_toxicity, op8_mixing, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
