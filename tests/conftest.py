@@ -3,6 +3,9 @@ import sys
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices, many tests
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
