@@ -21,7 +21,7 @@ def digits(x: Column) -> Column:
 
 
 def luhn_valid(x: Column) -> Column:
-    return F.luhn_check(digits(x))
+    return F.call_function("luhn_check", digits(x))
 
 
 def iban_valid(x: Column) -> Column:

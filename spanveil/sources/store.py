@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
 import secrets
-import shutil
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.functions.durable import Files
+
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}")
 TTL_SECONDS = 30 * 24 * 3600
 
@@ -27,70 +27,61 @@ def decrypted(x: Column, key: bytes) -> Column:
 class Namespace:
     """A named mapping under a root folder; originals and keys are stored encrypted.
 
-    A save writes a new version and then turns the name to it, and fails if another
-    writer has saved since this one loaded, so no number is given out twice.
+    The folder may lie in any store that Spark writes to. A save writes its rows to a
+    folder of their own and then claims the next version, and fails if another writer
+    has claimed it since this one loaded, so no number is given out twice.
     """
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         if not NAME.fullmatch(name):
             raise ValueError(f"not a namespace name: {name!r}")
-        self.spark, self.path = spark, os.path.join(root, name)
+        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
+        self.files = Files(spark, self.path)
         self.version: int | None = None
 
-    @property
-    def _current(self) -> str:
-        return os.path.join(self.path, "CURRENT")
-
     def key(self, create: bool = False) -> bytes:
-        at = os.path.join(self.path, "key")
-        if create and not os.path.exists(at):
-            os.makedirs(self.path, mode=0o700, exist_ok=True)
-            try:
-                with os.fdopen(os.open(at, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
-                    f.write(secrets.token_bytes(32))
-            except FileExistsError:
-                pass
-        with open(at, "rb") as f:
-            return f.read()
-
-    def _stored_version(self) -> int:
-        try:
-            with open(self._current) as f:
-                return int(f.read())
-        except FileNotFoundError:
-            return 0
+        if create:
+            self.files.create(f"{self.path}/key", secrets.token_bytes(32))
+        return self.files.read(f"{self.path}/key")
+
+    def _stored(self) -> tuple[int, str]:
+        """The last version that was claimed and the folder that it names."""
+        claims = {int(x[6:]): x for x in self.files.names(self.path) if x.startswith("claim-")}
+        return (max(claims), self.files.read(f"{self.path}/{claims[max(claims)]}").decode()) if claims else (0, "")
 
     def load(self) -> DataFrame | None:
         """The mapping, or none if nothing was saved. A wrong key is an error."""
-        self.version = self._stored_version()
+        self.version, folder = self._stored()
         if not self.version:
             return None
         key = self.key()
-        rows = self.spark.read.parquet(os.path.join(self.path, f"v{self.version}"))
+        rows = self.spark.read.parquet(f"{self.path}/{folder}")
         plain = rows.select("pseudonym", decrypted(F.col("original"), key).alias("original"), decrypted(F.col("lookup_key"), key).alias("lookup_key"), "label", "n")
         if plain.where("original IS NULL").limit(1).count():
             raise ValueError("the key does not open this namespace")
         return plain
 
     def save(self, mapping: DataFrame) -> None:
-        key, seen = self.key(create=True), self._stored_version()
+        key, (seen, before) = self.key(create=True), self._stored()
         if seen != (self.version or 0):
             raise RuntimeError("another writer has saved this namespace")
+        folder = f"rows-{secrets.token_hex(8)}"
         rows = mapping.select("pseudonym", encrypted(F.col("original"), key).alias("original"), encrypted(F.col("lookup_key"), key).alias("lookup_key"), "label", "n")
-        rows.write.mode("errorifexists").parquet(os.path.join(self.path, f"v{seen + 1}"))
-        with open(self._current + ".tmp", "w") as f:
-            f.write(str(seen + 1))
-        os.replace(self._current + ".tmp", self._current)
+        rows.write.parquet(f"{self.path}/{folder}")
+        if not self.files.create(f"{self.path}/claim-{seen + 1}", folder.encode()):
+            self.files.delete(f"{self.path}/{folder}")
+            raise RuntimeError("another writer has saved this namespace")
         self.version = seen + 1
+        if before:
+            self.files.delete(f"{self.path}/{before}")
 
     def delete(self) -> bool:
-        found = os.path.isdir(self.path)
-        shutil.rmtree(self.path, ignore_errors=True)
-        return found
+        return self.files.delete(self.path)
 
 
-def namespaces(root: str) -> list[str]:
-    return sorted(x for x in os.listdir(root) if os.path.exists(os.path.join(root, x, "key"))) if os.path.isdir(root) else []
+def namespaces(spark: SparkSession, root: str) -> list[str]:
+    found = Files(spark, root)
+    return [x for x in found.names(root) if found.exists(f"{root.rstrip('/')}/{x}/key")]
 
 
 @runtime_checkable
@@ -122,13 +113,13 @@ class ParquetBackend:
     """Records appended to a folder; the latest of a key counts, and a null value deletes it."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.files = spark, path, Files(spark, path)
 
     def put(self, rows: DataFrame) -> None:
         rows.select("key", "value", "expires_at", F.current_timestamp().alias("written_at")).write.mode("append").parquet(self.path)
 
     def rows(self) -> DataFrame:
-        if not os.path.isdir(self.path):
+        if not self.files.exists(self.path):
             return self.spark.createDataFrame([], "key string, value binary, expires_at timestamp")
         latest = self.spark.read.parquet(self.path).groupBy("key").agg(F.max_by(F.struct("value", "expires_at"), "written_at").alias("x"))
         return latest.select("key", "x.*").where("value IS NOT NULL")
