@@ -24,8 +24,8 @@ OCTETS = "application/octet-stream"
 MOST_BYTES, MOST_PAGES, MOST_UNZIPPED, MOST_RATIO = 25 * 2**20, 50, 200 * 10**6, 100
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content, mime_type of the files in a folder (not below it) or of one file."""
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, content, mime_type of the files in each folder (not below it) and of each file that is named."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.withColumn("mime_type", mime_type(F.col("path"), F.col("content")))
 
