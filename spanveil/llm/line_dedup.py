@@ -12,30 +12,39 @@ from spanveil.llm.base import cut, whole
 
 #: Sketches of 2^12 registers: their relative standard error.
 LG_K, ERROR = 12, 1.04 / 64
+#: Into how many parts the rows of one line are dealt.
+SALTS = 16
 
 
-def site_lines(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
-    """site and hash of each line with a word."""
-    lines = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(F.split(whole(text_col), "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("site", F.xxhash64("line").alias("line"))
+def site_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
+    """site and hash of each line with a word, and a salt from the document's id."""
+    lines = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.split(whole(text_col), "\n", -1)).alias("line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("site", "salt", F.xxhash64("line").alias("line"))
 
 
-def shared_lines(docs: DataFrame, sites: int = 5, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines that are wanted. The rows of one line meet in SALTS parts, not in one."""
+    every = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.join(every, ["line", "salt"], "left_semi")
+
+
+def shared_lines(docs: DataFrame, sites: int = 5, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
     """line: hashes of the lines that stand in texts of `sites` sites or more.
 
     A line that occurs less often than that is out by a count. For the others, a
-    HyperLogLog sketch of the sites is built in each task and merged by aggregation, so a
-    line that a third of all rows hold costs a sketch for each task and no more. Where the
-    estimate is within four standard errors of the threshold (and one site), the distinct
-    sites are counted exactly.
+    HyperLogLog sketch of the sites is built for each salt and merged by aggregation, so a
+    line that a third of all rows hold is dealt to SALTS tasks. Where the estimate is
+    within four standard errors of the threshold (and one site), the distinct sites are
+    counted exactly, after each salt has made its own distinct.
     """
-    lines = site_lines(docs, site_col, text_col)
+    lines = site_lines(docs, id_col, site_col, text_col)
     often = lines.groupBy("line").count().where(F.col("count") >= sites).select("line")
-    seen = lines.join(often, "line", "left_semi")
-    spread = cut(seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about")))
+    sketches = only(lines, often).groupBy("line", "salt").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    spread = cut(sketches.groupBy("line").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about")))
     margin = 1 + 4 * ERROR * sites
     near = spread.where(F.abs(F.col("about") - sites) <= margin).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= sites).select("line")
+    pairs = only(lines, near).groupBy("line", "salt", "site").agg(F.lit(1).alias("one"))
+    exact = pairs.select("line", "site").distinct().groupBy("line").count().where(F.col("count") >= sites).select("line")
     return spread.where(F.col("about") > sites + margin).select("line").unionByName(exact)
 
 
@@ -56,7 +65,7 @@ def line_dedup(docs: DataFrame, sites: int = 5, id_col: str = "doc_id", site_col
     A null text is empty and has one line; null sites are one site; ids may be null or
     repeat; an empty table gives an empty result.
     """
-    shared = cut(shared_lines(docs, sites, site_col, text_col))
+    shared = cut(shared_lines(docs, sites, id_col, site_col, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     schema = "doc_id long, text string, n_lines long, n_removed long"
     if shared.count() <= most_broadcast:
