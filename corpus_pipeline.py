@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spanveil.llm.base import cut, table
 from spanveil.llm.exact_dedup import without_copies
 from spanveil.llm.mixing import mix
+from spanveil.llm.near_copies import without_near_copies
 from spanveil.llm.packing import pack
 from spanveil.llm.queries import tokenizer
-from spanveil.llm.simhash import without_near_copies
 from spanveil.llm.toxicity import without_toxic
 
 

@@ -268,9 +268,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, block: i
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; documents without an id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, docs[id_col] == gone.doc_id, "left_anti")
