@@ -97,22 +97,41 @@ def safe(rejected: int, good: int, most: float, doubt: float) -> bool:
     return log_tail(rejected, good, most) <= log(doubt)
 
 
+def in_one_sequence() -> list[tuple[int, int]]:
+    """Steps (rule, place of the cutoff) of one fixed sequence: each rule to the middle of its cutoffs, then each to its end."""
+    half = [len(cutoffs) // 2 for _, _, _, cutoffs in RULES]
+    return [(r, i) for r, h in enumerate(half) for i in range(h)] + [(r, i) for r, h in enumerate(half) for i in range(h, len(RULES[r][3]))]
+
+
 def chosen_cutoffs(good: dict[str, int], rejected: dict[tuple[str, int, int], int], most: float, doubt: float) -> dict[tuple[str, int], float]:
     """By (stratum, rule): the lowest cutoff that is safe with all above it.
 
     good: good documents by stratum. rejected: of these, how many each (stratum, rule,
-    place of the cutoff) would reject. Cutoffs of a rule are tried in their fixed order
-    until one fails, which needs no correction; the doubt is divided by the number of
-    strata and rules, and the share by that of rules, so that with probability
-    1 - doubt all rules together reject at most `most` of the good documents of every stratum.
+    place of the cutoff) would reject. With probability 1 - doubt all rules together
+    reject at most `most` of the good documents of every stratum.
+
+    The doubt is divided by the number of strata and rules. Where a stratum has labels
+    enough, the share is divided by that of rules; cutoffs of a rule are tried in their
+    fixed order until one fails, which needs no correction. A smaller stratum, which its
+    number of labels alone decides, goes through one fixed sequence of all rules at the
+    whole share until a step fails; documents that several rules reject count for each.
     """
     found = {}
+    own = doubt / (len(good) * len(RULES)) if good else doubt
     for stratum, n in good.items():
-        for r, (_, _, _, cutoffs) in enumerate(RULES):
-            for i, cutoff in enumerate(cutoffs):
-                if not safe(rejected.get((stratum, r, i), 0), n, most / len(RULES), doubt / (len(good) * len(RULES))):
-                    break
-                found[stratum, r] = cutoff
+        if safe(0, n, most / len(RULES), own):
+            for r, (_, _, _, cutoffs) in enumerate(RULES):
+                for i, cutoff in enumerate(cutoffs):
+                    if not safe(rejected.get((stratum, r, i), 0), n, most / len(RULES), own):
+                        break
+                    found[stratum, r] = cutoff
+            continue
+        so_far = [0] * len(RULES)
+        for r, i in in_one_sequence():
+            so_far[r] = rejected.get((stratum, r, i), 0)
+            if not safe(sum(so_far), n, most, own):
+                break
+            found[stratum, r] = RULES[r][3][i]
     return found
 
 
@@ -149,7 +168,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: float = 0.03, doubt: float
     good = rows.where(~base_failed()).join(labels.where(F.col("quality") == 1).select("doc_id"), "doc_id")
     places = [F.lit(0), *map(reached, range(len(RULES)))]
     # at how many cutoffs, counted from the lowest up, each good document would be rejected
-    least = int(log(doubt / len(RULES)) / log(1 - most / len(RULES)))
+    least = int(log(doubt / len(RULES)) / log(1 - most))
     by = good.select("stratum", F.explode(F.array(*(F.struct(F.lit(r - 1).alias("rule"), p.alias("level")) for r, p in enumerate(places)))).alias("x")).groupBy("stratum", "x.rule", "x.level").count()
     enough = by.where(F.col("rule") == -1).where(F.col("count") >= least).select("stratum")
     known = by.join(enough, "stratum").collect()

@@ -74,3 +74,14 @@ def test_false_rejections_stay_under_the_limit(spark, seed):
         assert sum(not x.kept for x in own) <= 0.03 * len(own)
     bad = [x for x in got if not x.good]
     assert sum(not x.kept and x.failed_rule == "symbols" for x in bad) > 0.9 * len(bad)
+
+
+def test_small_strata_use_the_whole_share_in_one_sequence():
+    strata = dict.fromkeys(("de", "fr", "es"), 300) | {"en": 5000}
+    middle = len(q.RULES[0][3]) // 2
+    rejected = {("de", 0, i): 0 if i < 7 else 300 for i in range(60)} | {("fr", 1, i): 300 for i in range(29)}
+    got = chosen_cutoffs(strata, rejected, 0.03, 0.05)
+    assert {k: v for k, v in got.items() if k[0] == "de"} == {("de", 0): q.RULES[0][3][6]}
+    assert {k: v for k, v in got.items() if k[0] == "fr"} == {("fr", 0): q.RULES[0][3][middle - 1]}
+    assert {r for s, r in got if s == "es"} == {*range(len(q.RULES))} == {r for s, r in got if s == "en"}
+    assert not any(s == "xx" for s, _ in chosen_cutoffs(strata | {"xx": 150}, {}, 0.03, 0.05))
