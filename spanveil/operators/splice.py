@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.durable import cut
 from spanveil.functions.text import lookup_key
 from spanveil.operators.merge import resolved
 
@@ -23,17 +24,26 @@ def one_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("tokens"))
 
 
+def with_own_map(docs: DataFrame, wanted: Column, mapping: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """docs with a map `name` from those keys of the array `wanted` that the mapping has to their values.
+
+    Rows are told apart by a key made here, so ids may be null or repeat.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    asked = rows.select("_row", F.explode(F.array_distinct(wanted)).alias(key))
+    own = asked.join(mapping.select(key, value), key).dropDuplicates(["_row", key]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    return rows.join(own, "_row", "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>"))).drop("_row")
+
+
 def with_tokens(docs: DataFrame, mapping: DataFrame, id_col: str) -> DataFrame:
     """docs with `tokens`, a map from the keys that a document needs to their tokens.
 
     A small mapping (its size is counted) goes to every task whole. A larger one is joined
-    to the distinct keys of each document, which come back as one map for it.
+    to the distinct keys of each row, which come back as one map for it.
     """
     if mapping.count() <= FEW_KEYS:
         return docs.crossJoin(F.broadcast(one_map(mapping, "lookup_key", "pseudonym")))
-    keys = docs.where(F.size("entities") > 0).select(id_col, F.explode(F.array_distinct(F.transform("entities", lambda e: lookup_key(e["text"])))).alias("lookup_key"))
-    own = keys.join(mapping.select("lookup_key", "pseudonym"), "lookup_key").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lookup_key", "pseudonym"))).alias("tokens"))
-    return docs.join(own, id_col, "left").withColumn("tokens", F.coalesce("tokens", F.create_map().cast("map<string,string>")))
+    return with_own_map(docs, F.transform("entities", lambda e: lookup_key(e["text"])), mapping, "lookup_key", "pseudonym", "tokens")
 
 
 def pseudonymized(docs: DataFrame, mapping: DataFrame, overlap: str = "resolve", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -109,6 +109,21 @@ def test_splice_and_reveal(spark, monkeypatch):
         redact(docs, "extract_only")
 
 
+def test_both_sizes_of_mapping_give_the_same_whatever_the_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "mail a@b.at"), (None, "mail c@d.at, a@b.at"), (1, "mail a@b.at"), (1, "to a@b.at and c@d.at"), (2, "none")], "doc_id long, text string")
+    told = spark.createDataFrame([("<<A_1>>", "see <<B_2>> and << b_3 >>"), ("<<B_2>>", "two"), ("<<B_3>>", "three")], "pseudonym string, original string")
+    replies = spark.createDataFrame([(None, "<<A_1>>"), (None, "<<B_2>> <<X_9>>"), (1, "«a_1»"), (1, "<<A_1>><<A_1>>"), (2, None)], "doc_id long, text string")
+    got = []
+    for few in (splice.FEW_KEYS, 0):
+        monkeypatch.setattr(splice, "FEW_KEYS", few)
+        monkeypatch.setattr(reveal, "FEW_KEYS", few)
+        out = RedactionSession(spark).redacted(docs).select("doc_id", "text", "redacted").collect()
+        back = [reveal.revealed(replies, told, lenient).select("doc_id", "text", "revealed", "n_replaced", "n_unresolved").collect() for lenient in (True, False)]
+        got.append([sorted(map(str, x)) for x in (out, *back)])
+        assert all("@" not in x.redacted and x.redacted.count("<<") == x.text.count("@") for x in out)
+    assert got[0] == got[1] and "see two and three" in str(got[0])
+
+
 def test_plugins(spark):
     docs = spark.createDataFrame([(1, "Anna in Berlin"), (2, None)], "doc_id long, text string")
 
