@@ -158,7 +158,7 @@ def similar_pairs(nodes: DataFrame, pairs: DataFrame, words: int, least: float)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (a hash of the text) and component_id of each document that is similar to another text.
+    """doc_id, node (a hash of the text), component_id and component_node of each document that is similar to another text.
 
     Two texts are similar if the sets of their shingles of `words` words have a Jaccard
     similarity of `least` or more; words are lower-cased in A-Z and cut at ASCII white
@@ -175,10 +175,15 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, block: i
     roots = cut(roots.union(roots.select("root", "root")).distinct())
     named = F.broadcast(roots) if roots.count() <= FEW else roots
     members = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("node")).join(named, "node"))
-    return members.join(members.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "component_id")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first")
+    return members.join(members.groupBy("root").agg(first), "root").select("doc_id", "node", F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("component_node"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group of similar texts, that of the smallest id; documents without an id stay."""
-    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, docs[id_col] == gone.doc_id, "left_anti")
+    """docs with one document of each group of similar texts, that of the smallest id; documents without an id stay.
+
+    A document is its id and its text: an id with several texts loses those that go only.
+    """
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
+    gone = groups.where((F.col("doc_id") != F.col("component_id")) | (F.col("node") != F.col("component_node"))).where("doc_id IS NOT NULL").select("doc_id", "node").distinct()
+    return docs.join(gone, (docs[id_col] == gone.doc_id) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone.node), "left_anti")

@@ -61,5 +61,13 @@ def test_large_groups_chains_and_edge_cases(spark, block):
     assert {x.doc_id: x.component_id for x in got} == {i: g[0] for g in want for i in g}
 
 
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    r = random.Random(6)
+    (a, b), (c, d), (e, f) = (copies_at(r, 0.85, 0.95) for _ in range(3))
+    rows = [(1, a), (5, b), (5, c), (9, d), (3, e), (3, f), (None, b)]
+    kept = [tuple(x) for x in without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and {(1, a), (5, c), (None, b)} < {*kept} and len({(3, e), (3, f)} & {*kept}) == 1
+
+
 def test_empty_table(spark):
     assert without_near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
