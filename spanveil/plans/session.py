@@ -101,22 +101,29 @@ class RedactionSession:
         mime = bare_mime(F.col("mime_type"))
         plain = mime.isin(*(m for m in file_source.REVEALED if m not in (file_source.DOCX, file_source.XLSX)))
         out = self.revealed(files.withColumn("_text", F.when(plain, file_source.plain_text(F.col("content")))), "path", "_text")
-        pairs = {r.pseudonym: r.original for r in self._known().limit(splice.FEW_KEYS + 1).collect()} if files.where(mime.isin(file_source.DOCX, file_source.XLSX)).limit(1).count() else {}
-        if len(pairs) > splice.FEW_KEYS:
-            raise ValueError("too many tokens to reveal office files; reveal their text instead")
+        changed = lambda data, kind, swap: (file_source.docx_changed if kind == file_source.DOCX else file_source.xlsx_changed)(data, swap)
+        token = r"<<[A-Z_]+_[0-9]+>>"
+
+        @F.udf("array<string>")
+        def office_tokens(content, kind):
+            data, found = bytes(content), set()
+            if not file_source.zip_problem(data):
+                changed(data, kind, lambda text: found.update(re.findall(token, text)) or text)
+            return sorted(found)
 
         @F.udf("binary")
-        def office(content, kind):
+        def office(content, kind, pairs):
             data = bytes(content)
             if file_source.zip_problem(data):
                 return None
-            swap = lambda text: re.sub(r"<<[A-Z_]+_[0-9]+>>", lambda m: pairs.get(m[0], m[0]), text)
-            return (file_source.docx_changed if kind == file_source.DOCX else file_source.xlsx_changed)(data, swap)
+            return changed(data, kind, lambda text: re.sub(token, lambda m: m[0] if pairs.get(m[0]) is None else pairs[m[0]], text))
 
+        is_office = mime.isin(file_source.DOCX, file_source.XLSX)
+        out = splice.with_own_map(out, F.when(is_office, office_tokens("content", mime)), self._known(), "pseudonym", "original", "_pairs")
         some = self._known().limit(1).count() > 0
-        made = F.when(plain, F.encode("revealed", "utf-8")).when(mime.isin(file_source.DOCX, file_source.XLSX), office("content", mime))
+        made = F.when(plain, F.encode("revealed", "utf-8")).when(is_office, office("content", mime, F.col("_pairs")))
         out = out.withColumn("output", made if some else F.lit(None).cast("binary"))
-        return out.withColumn("reason", F.when(F.lit(not some), "no mapping").when(F.col("output").isNull(), "unsupported type")).drop("_text", "revealed", "n_replaced", "n_unresolved")
+        return out.withColumn("reason", F.when(F.lit(not some), "no mapping").when(F.col("output").isNull(), "unsupported type")).drop("_text", "_pairs", "revealed", "n_replaced", "n_unresolved")
 
     def analyzed_bodies(self, bodies: DataFrame, mode: str = ONLY_PSEUDONYMIZE, **extractors) -> tuple[DataFrame, DataFrame]:
         """Bodies (request_id, stream_key, body) after the mode, and what was found by request."""
