@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import cut, whole
+from spanveil.llm.base import FEW, cut, free, named, whole
 
+log = logging.getLogger(__name__)
 #: Cells and targets are matched as text; a null value is one of its own.
 NULL = "\x00null"
-#: Cells that one task may rake, and that may be broadcast (their keys are cut to fixed length for that).
-FEW_CELLS = 100_000
 
 
 def text_form(text: Column) -> Column:
@@ -29,95 +29,131 @@ def text_form(text: Column) -> Column:
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """value, target: shares of the values, each raised to a power; under 1 it lifts rare ones."""
-    own = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0")
-    raised = own.select("value", F.pow("n", F.lit(power)).alias("n"))
-    return raised.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("target"))
+    own = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0").select("value", F.pow("n", F.lit(power)).alias("n"))
+    return own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("every")))).select("value", (F.col("n") / F.col("every")).alias("target"))
 
 
-def raked(cells: DataFrame, dimensions: list[str], tolerance: float = 1e-9, most_rounds: int = 60, at_once: int = 3) -> DataFrame:
+def scaled(cells: DataFrame, d: str, few: bool) -> DataFrame:
+    """The cells with their weights scaled to the targets of one dimension."""
+    if few:
+        return cells.withColumn("weight", to_target(d, F.sum("weight").over(Window.partitionBy(d))))
+    totals = cells.groupBy(d).agg(F.sum("weight").alias("total"))
+    return cut(cells.join(totals, d).withColumn("weight", to_target(d, F.col("total"))).drop("total"))
+
+
+def to_target(d: str, total: Column) -> Column:
+    return F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(F.lit(0.0))
+
+
+def raked(cells: DataFrame, dimensions: list[str], few: bool = True, tolerance: float = 1e-9, most_rounds: int = 60, at_once: int = 3, report: dict | None = None) -> DataFrame:
     """The cells with `weight`: their share of tokens once every marginal is its target.
 
     cells has tokens and, for each dimension, target_<dimension>. A round scales the
     weights to the targets of one dimension after the other; rounds go on until the worst
-    marginal is within the tolerance. Cells without tokens stay at zero. If targets ask for
-    more than the filled cells can give, the last dimension's are met and the others as
-    nearly as `most_rounds` rounds bring them.
+    marginal is within the tolerance or no longer gets nearer. Cells without tokens stay at
+    zero. If targets ask for more than the filled cells can give, the last dimension's are
+    met and the others as nearly as rounds bring them; that is logged, and told in `report`
+    (rounds, worst: the largest gap between a marginal and its target).
+
+    Cells that one task may hold (`few`) are scaled there; otherwise marginals are
+    aggregated, with partial sums where the cells lie, and joined back.
     """
-    every = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    now = cells.withColumn("weight", F.when(every > 0, F.col("tokens") / every).otherwise(F.lit(0.0)))
-    for _ in range(0, most_rounds, at_once):
+    every = cells.agg(F.sum("tokens")).first()[0] or 0
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(every)) if every else F.lit(0.0))
+    rounds, worst, before = 0, 0.0, float("inf")
+    while rounds < most_rounds:
         for _ in range(at_once):
             for d in dimensions:
-                total = F.sum("weight").over(Window.partitionBy(d))
-                now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(F.lit(0.0)))
-        now = cut(now)
+                now = scaled(now, d, few)
+        now, rounds = cut(now), rounds + at_once
         off = reduce(DataFrame.unionByName, (now.groupBy(d).agg(F.sum("weight").alias("w"), F.max(f"target_{d}").alias("t")).select(F.max(F.abs(F.col("w") - F.col("t"))).alias("off")) for d in dimensions))
-        if (off.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        worst = off.agg(F.max("off")).first()[0] or 0.0
+        if worst <= tolerance or worst >= before:
             break
+        before = worst
+    if worst > tolerance:
+        log.warning("raking ended after %d rounds with a marginal off its target by %g", rounds, worst)
+    if report is not None:
+        report |= {"rounds": rounds, "worst": worst}
     return now
 
 
-def calibrated(cells: DataFrame, keep: float) -> DataFrame:
+def calibrated(cells: DataFrame, keep: float, report: dict | None = None) -> DataFrame:
     """The cells with `ratio` (weight over natural share) and `probability`.
 
     A document is kept with probability min(1, rate * ratio); the rate is the one at which
-    the share `keep` of all tokens is expected to stay.
+    the share `keep` of all tokens is expected to stay. It is found in a few sums over the
+    cells: those that the rate so far would keep whole are taken out, and it rises for the
+    rest, until no more are. `report` gets rate, and whole: the share of the mix in cells
+    kept whole, which can't reach their target.
     """
-    every = Window.partitionBy(F.lit(0))
-    down = every.orderBy(F.desc("ratio"), "tokens", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.sum("tokens").over(every) / F.col("tokens")).otherwise(F.lit(0.0))
-    cells = cells.withColumn("ratio", ratio)
-    # with the cells before this one kept whole, the rate for all from this one on
-    before = F.sum("tokens").over(down) - F.col("tokens")
-    rest = F.sum(F.col("tokens") * F.col("ratio")).over(every) - F.sum(F.col("tokens") * F.col("ratio")).over(down) + F.col("tokens") * F.col("ratio")
-    cells = cells.withColumn("rate", F.when(rest > 0, (F.lit(keep) * F.sum("tokens").over(every) - before) / rest))
-    rate = F.min(F.when(F.col("rate") * F.col("ratio") <= 1, F.struct(-F.col("ratio"), F.col("rate")))).over(every)["rate"]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.coalesce(rate, F.lit(1.0) / F.greatest(F.max("ratio").over(every), F.lit(1e-300))) * F.col("ratio"))).drop("rate")
+    every = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(every) / F.col("tokens")).otherwise(F.lit(0.0))
+    cells, rate, n = cells.withColumn("ratio", ratio), 0.0, -1
+    while True:
+        over = F.lit(rate) * F.col("ratio") >= 1
+        sums = cells.agg(F.count_if(over & (F.col("tokens") > 0)).alias("n"), F.sum(F.when(over, F.col("tokens"))).alias("kept"), F.sum(F.when(~over, F.col("tokens") * F.col("ratio"))).alias("rest"), F.sum(F.when(over, F.col("weight"))).alias("whole"), F.max("ratio").alias("most"), F.count_if((F.col("ratio") > 0) & ~over).alias("left")).first()
+        if sums.n == n or not sums.left:
+            break
+        n, rate = sums.n, max(rate, (keep * every - (sums.kept or 0)) / sums.rest)
+    if report is not None:
+        report |= {"rate": rate, "whole": sums.whole or 0.0}
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("ratio")))
 
 
 def chance(id_col: str, seed: str) -> Column:
     """A number from 0 up to 1 that a document's id fixes."""
-    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    name = F.concat(F.lit(seed + ":"), F.coalesce(named(id_col).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, keep: float = 0.8, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+OUT = ("topic", "tokens", "weight", "probability", "kept")
+
+
+def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, tokens: Column | None = None, keep: float = 0.8, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", report: dict | None = None, few_cells: int = FEW) -> DataFrame:
     """docs with mix_topic, mix_tokens, mix_weight, mix_probability and mix_kept.
 
-    Tokens are taken as a quarter of the UTF-8 bytes, rounded up. Documents are counted
-    by source, language and topic (`text_form`, where none is given). The weights of
-    these cells are raked to the targets of each of the three: a table (value, target)
-    in `targets`, or else the natural shares raised to a power (`powers`, 0.9 each).
-    mix_weight is the weight of a document's cell over its natural share, and a document
-    is kept if the number that its id fixes is under its probability.
+    Documents are counted by source, language and topic (`text_form`, where none is
+    given); `tokens` is the number of tokens of a document, a quarter of its UTF-8 bytes,
+    rounded up, where none is given. The weights of these cells are raked to the targets of
+    each of the three: a table (value, target) in `targets`, or else the natural shares
+    raised to a power (`powers`, 0.9 each). mix_weight is the weight of a document's cell
+    over its natural share, and a document is kept if the number that its id fixes is under
+    its probability. report: a dict that gets how near the marginals came (see `raked` and
+    `calibrated`).
 
     Only counts by cell are shuffled. The cells (sources times languages times topics) are
     broadcast to the documents where they are few, and joined otherwise. Nulls in source
     or language are values of their own; a value without a target gets none of the mix;
     null texts are empty; ids may be null or repeat (rows with one id share their fate); an
-    empty table gives an empty result.
+    empty table gives an empty result. If docs has a column of one of the five names, all
+    five get as many _ before them as it takes.
     """
     powers = {"source": 0.9, "lang": 0.9, "topic": 0.9} | (powers or {})
     dimensions = list(powers)
-    named = {d: F.coalesce(F.col(d).cast("string"), F.lit(NULL)) for d in ("source", "lang")} | {"topic": F.coalesce(text_form(whole(text_col)) if topic is None else topic.cast("string"), F.lit(NULL))}
-    cell = F.xxhash64(*(f"mix_{d}" for d in dimensions))
-    rows = docs.withColumns({f"mix_{d}": named[d] for d in dimensions} | {"mix_tokens": F.ceil(F.octet_length(whole(text_col)) / 4).cast("long")}).withColumn("mix_cell", cell)
-    cells = cut(rows.groupBy("mix_cell", *(F.col(f"mix_{d}").alias(d) for d in dimensions)).agg(F.sum("mix_tokens").alias("tokens")).withColumnRenamed("mix_cell", "cell"))
-    few = cells.count() <= FEW_CELLS
+    out_topic, out_tokens, out_weight, out_probability, out_kept, cell = free(docs.columns, *(f"mix_{x}" for x in OUT), "mix_cell")
+    kinds = {d: F.coalesce(named(d).cast("string"), F.lit(NULL)) for d in ("source", "lang")} | {"topic": F.coalesce(text_form(whole(text_col)) if topic is None else topic.cast("string"), F.lit(NULL))}
+    size = F.ceil(F.octet_length(whole(text_col)) / 4) if tokens is None else F.coalesce(tokens, F.lit(0))
+    rows = docs.withColumns({out_topic: kinds["topic"], out_tokens: size.cast("long")})
+    kinds["topic"] = F.col(out_topic)
+    # a hash of its own for each cell, as a key of fixed length
+    rows = rows.withColumn(cell, F.xxhash64(*(kinds[d] for d in dimensions)))
+    cells = cut(rows.groupBy(F.col(cell).alias("cell"), *(kinds[d].alias(d) for d in dimensions)).agg(F.sum(out_tokens).alias("tokens")))
+    few = cells.count() <= few_cells
     for d in dimensions:
         own = targets[d] if targets and d in targets else tempered(cells, d, powers[d])
         own = own.select(F.coalesce(F.col("value").cast("string"), F.lit(NULL)).alias(d), F.col("target").cast("double").alias(f"target_{d}"))
         cells = cells.join(own, d, "left").withColumn(f"target_{d}", F.coalesce(f"target_{d}", F.lit(0.0)))
     cells = cut(cells.coalesce(1) if few else cells)
-    told = calibrated(raked(cells, dimensions), keep).select(F.col("cell").alias("mix_cell"), F.col("ratio").alias("mix_weight"), F.col("probability").alias("mix_probability"))
-    told = cut(told)
-    out = rows.join(F.broadcast(told) if few else told, "mix_cell")
-    return out.withColumn("mix_kept", chance(id_col, seed) < F.col("mix_probability")).drop("mix_cell", "mix_source", "mix_lang")
+    told = cut(calibrated(raked(cells, dimensions, few, report=report), keep, report).select(F.col("cell").alias(cell), F.col("ratio").alias(out_weight), F.col("probability").alias(out_probability)))
+    out = rows.join(F.broadcast(told) if few else told, cell)
+    return out.withColumn(out_kept, chance(id_col, seed) < F.col(out_probability)).select(*map(named, docs.columns), out_topic, out_tokens, out_weight, out_probability, out_kept)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The documents that `mixed` keeps, with the columns of docs."""
-    return mixed(docs, **how).where("mix_kept").select(*docs.columns)
+    out = mixed(docs, **how)
+    return out.where(F.col(out.columns[-1])).select(*map(named, docs.columns))
 
 
 def oracle(rounds: int = 60, keep: float = 0.8, power: float = 0.9) -> str:

@@ -3,6 +3,7 @@ import math
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanveil.llm.mixing import mix, mixed
 
@@ -74,3 +75,31 @@ def test_empty_tables_and_texts(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert mixed(spark.createDataFrame([], schema)).collect() == []
     assert len(mixed(spark.createDataFrame([(1, None, None, None), (2, "", "en", "a")], schema)).collect()) == 2
+
+
+def test_columns_of_the_same_names_are_left_alone(spark, rows):
+    names = ["mix_cell", "MIX_Tokens", "mix_topic", "mix_source", "mix_kept", "a.b"]
+    docs = spark.createDataFrame([(*r, *(f"{n}!" for n in names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = mix(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r[3] for r in brute(rows))
+    assert {tuple(r)[4:] for r in kept.collect()} == {tuple(f"{n}!" for n in names)}
+
+
+def test_own_token_counts_and_what_is_reported(spark):
+    docs = spark.createDataFrame([(i, "x", ["en", "fr"][i % 2], ["a", "b", "c"][i % 3], 10 + i % 7) for i in range(900)], "doc_id long, text string, lang string, source string, n int")
+    report = {}
+    got = mixed(docs, tokens=F.col("n"), report=report).collect()
+    assert all(r.mix_tokens == r.n for r in got)
+    assert report["worst"] <= 1e-9 and report["rounds"] and report["whole"] < 1
+    assert abs(sum(r.n * r.mix_probability for r in got) / sum(r.n for r in got) - 0.8) < 1e-9
+    # French stands in one source only, which may not give half of the mix
+    apart = docs.withColumn("source", F.when(F.col("lang") == "fr", "a").otherwise("b"))
+    targets = {"lang": spark.createDataFrame([("en", 0.5), ("fr", 0.5)], "value string, target double"), "source": spark.createDataFrame([("a", 0.1), ("b", 0.9)], "value string, target double")}
+    mixed(apart, targets=targets, report=report).collect()
+    assert report["worst"] > 0.3
+
+
+def test_many_cells_give_what_few_do(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 50), ["en", "fr", None][i % 3], ["a", "b"][i % 2]) for i in range(600)], "doc_id long, text string, lang string, source string")
+    key = lambda df: sorted((r.doc_id, round(r.mix_probability, 9), r.mix_kept) for r in df.collect())
+    assert key(mixed(docs)) == key(mixed(docs, few_cells=0))
