@@ -13,7 +13,7 @@ TAGS = 1 + 2 * len(KINDS)
 PAD, LETTER, OTHER, VOCABULARY = 0, 128, 129, 130
 #: Code points under 128 as the network sees them: all digits alike, letters without case.
 _CLASS = np.array([ord("0") if 48 <= c < 58 else ord(chr(c).lower()) for c in range(128)], np.int64)
-EMBEDDING, HIDDEN = 10, 16
+EMBEDDING, HIDDEN = 10, 32
 
 
 def classes(text: str) -> np.ndarray:
@@ -36,11 +36,6 @@ NEVER = np.where(allowed(), 0.0, -1e4).astype(np.float32)
 START = np.array([0.0] + [0.0, -1e4] * len(KINDS), np.float32)
 
 
-def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class Network:
     """Weights by name; both directions are stacked in the first axis."""
@@ -84,48 +79,55 @@ class Network:
         score = self.run(chars, kept).astype(np.float64)
         hidden = kept.pop()
         trans = w["trans"].astype(np.float64) + NEVER
-        # the CRF's forward and backward sums
-        alpha, beta = np.empty((length, n, TAGS)), np.zeros((length, n, TAGS))
-        alpha[0] = score[:, 0] + START
-        for t in range(1, length):
-            alpha[t] = score[:, t] + logsumexp(alpha[t - 1][:, :, None] + trans, 1)
-        for t in range(length - 2, -1, -1):
-            beta[t] = logsumexp(trans + (score[:, t + 1] + beta[t + 1])[:, None, :], 2)
-        total = logsumexp(alpha[-1], 1)
-        d_score = np.exp(alpha + beta - total[None, :, None])
-        d_trans = np.zeros_like(trans)
-        rows = np.arange(n)
-        gold = START[tags[:, 0]] + score[rows, 0, tags[:, 0]]
-        for t in range(1, length):
-            pair = alpha[t - 1][:, :, None] + trans + (score[:, t] + beta[t])[:, None, :] - total[:, None, None]
-            d_trans += np.exp(pair).sum(0)
-            gold = gold + trans[tags[:, t - 1], tags[:, t]] + score[rows, t, tags[:, t]]
-            np.add.at(d_trans, (tags[:, t - 1], tags[:, t]), -1)
+        # the CRF's forward and backward sums, scaled to one at each step
+        top = score.max(axis=2, keepdims=True)
+        step, emit = np.exp(trans), np.exp(score - top).transpose(1, 0, 2)
+        alpha, beta, scale = np.empty((length, n, TAGS)), np.ones((length, n, TAGS)), np.empty((length, n, 1))
         for t in range(length):
-            d_score[t, rows, tags[:, t]] -= 1
-        d_score = (d_score / n).transpose(1, 0, 2).astype(np.float32)
+            alpha[t] = emit[t] * (np.exp(START.astype(np.float64)) if t == 0 else alpha[t - 1] @ step)
+            scale[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= scale[t]
+        for t in range(length - 2, -1, -1):
+            beta[t] = (emit[t + 1] * beta[t + 1] / scale[t + 1]) @ step.T
+        total = np.log(scale[..., 0]).sum(0) + top[..., 0].sum(1)
+        d_score = (alpha * beta).transpose(1, 0, 2)
+        rows, at = np.arange(n)[:, None], np.arange(length)[None, :]
+        gold = START[tags[:, 0]] + score[rows, at, tags].sum(1) + trans[tags[:, :-1], tags[:, 1:]].sum(1)
+        d_trans = step * (alpha[:-1].reshape(-1, TAGS).T @ (emit[1:] * beta[1:] / scale[1:]).reshape(-1, TAGS))
+        np.add.at(d_trans, (tags[:, :-1], tags[:, 1:]), -1)
+        d_score[rows, at, tags] -= 1
+        d_score = (d_score / n).astype(np.float32)
         g = {"trans": (d_trans / n).astype(np.float32), "out": hidden.reshape(-1, 2 * HIDDEN).T @ d_score.reshape(-1, TAGS), "out_b": d_score.sum((0, 1))}
         # back through time, both directions at once
         d_hidden = d_score @ w["out"].T
         d_out = np.stack([d_hidden[..., :HIDDEN].transpose(1, 0, 2), d_hidden[:, ::-1, HIDDEN:].transpose(1, 0, 2)], 1)
         both = np.stack([chars, chars[:, ::-1]])
         g |= {k: np.zeros_like(w[k]) for k in ("embed", "x", "h", "b")}
-        d_table = np.zeros((2, VOCABULARY, 4 * HIDDEN), np.float32)
-        dh = dc = np.zeros((2, n, HIDDEN), np.float32)
+        every, back = np.empty((length, 2, n, 4 * HIDDEN), w["h"].dtype), np.ascontiguousarray(w["h"].transpose(0, 2, 1))
+        dh = dc = np.zeros((2, n, HIDDEN), w["h"].dtype)
         for t in range(length - 1, -1, -1):
             h, before, gates, new, bent = kept[t]
             i, f, o = (gates[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
             dh = dh + d_out[t]
             dc = dc + dh * o * (1 - bent**2)
-            dz = np.concatenate([dc * new * i * (1 - i), dc * before * f * (1 - f), dh * bent * o * (1 - o), dc * i * (1 - new**2)], axis=2)
-            g["h"] += h.transpose(0, 2, 1) @ dz
-            for d in (0, 1):
-                np.add.at(d_table[d], both[d, :, t], dz[d])
-            dh, dc = dz @ w["h"].transpose(0, 2, 1), dc * f
+            dz = every[t]
+            dz[..., :HIDDEN] = dc * new
+            dz[..., HIDDEN : 2 * HIDDEN] = dc * before
+            dz[..., 2 * HIDDEN : 3 * HIDDEN] = dh * bent
+            dz[..., : 3 * HIDDEN] *= gates * (1 - gates)
+            dz[..., 3 * HIDDEN :] = dc * i * (1 - new**2)
+            dh, dc = dz @ back, dc * f
+        held = np.stack([k[0] for k in kept])
         for d in (0, 1):
-            g["x"][d] = w["embed"].T @ d_table[d]
-            g["b"][d] = d_table[d].sum(0, keepdims=True)
-            g["embed"] += d_table[d] @ w["x"][d].T
+            own = every[:, d].reshape(-1, 4 * HIDDEN)
+            g["h"][d] = held[:, d].reshape(-1, HIDDEN).T @ own
+            order = np.argsort(both[d].T.ravel(), kind="stable")
+            names, starts = np.unique(both[d].T.ravel()[order], return_index=True)
+            d_table = np.zeros((VOCABULARY, 4 * HIDDEN), w["h"].dtype)
+            d_table[names] = np.add.reduceat(own[order], starts, axis=0)
+            g["x"][d] = w["embed"].T @ d_table
+            g["b"][d] = d_table.sum(0, keepdims=True)
+            g["embed"] += d_table @ w["x"][d].T
         return float((total - gold).mean()), g
 
     def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +235,7 @@ class Examples:
         return chars, tags
 
 
-def trained(lines: list[str], steps: int = 500, size: int = 32, length: int = 80, seed: int = 11) -> Network:
+def trained(lines: list[str], steps: int = 600, size: int = 32, length: int = 100, seed: int = 11) -> Network:
     """A network fitted by Adam on labelled spans among these lines; the same for the same lines."""
     net, examples = Network.fresh(seed), Examples(seed, lines)
     m, v = ({k: np.zeros_like(x) for k, x in net.w.items()} for _ in range(2))
