@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +38,34 @@ def free(taken: list[str], *wanted: str) -> list[str]:
     return [mark + x for x in wanted]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir. A folder of this machine is taken
-    only by a session on one machine that names none, as in tests.
+    It is the session's spark.checkpoint.dir. A folder of this machine is taken only by a
+    session on one machine that names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanveil-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and written as Parquet below the shared checkpoint folder; smaller than what `cut` writes."""
+    at = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def salts(rows: int, per_salt: int = 200_000) -> int:
     """Into how many parts a group of so many rows is dealt."""
     return max(1, -(-rows // per_salt))

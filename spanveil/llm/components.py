@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import cut
+from spanveil.llm.base import FEW, cut, joined
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +32,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: for each node of links (a, b), the smallest node that links lead to.
 
     Alternates large and small stars: each round hangs all neighbours of a node to the
-    smallest of them, and ends when a round changes nothing. The number of rounds grows
+    smallest of them, and ends when a round changes nothing. Nodes with many neighbours are
+    broadcast with their smallest, so a hub's links are not in one task. The number of rounds grows
     with the logarithm of the number of nodes; each is written to the checkpoint folder.
     Links to itself and repeated links do no harm; nulls are left out; no links give an
     empty result.
@@ -44,10 +45,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
+        few = now.n <= FEW
+        join = (lambda rows, told: rows.join(F.broadcast(told.drop("n")), "a")) if few else (lambda rows, told: joined(rows, cut(told), "a"))
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(small.union(least).distinct())
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join(both, least).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if few else cut(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join(large, least).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = cut(small.union(least.select("a", "m")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

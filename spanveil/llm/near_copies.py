@@ -1,138 +1,295 @@
-"""Near copies by the similarity of their word shingles: MinHash bands find candidates, whole texts decide."""
+"""Near copies by the similarity of their word shingles: long SimHash fingerprints find candidates, whole texts decide.
+
+What simhash.py does for a fixed number of differing bits, this does for a Jaccard
+similarity: bits that go together are parts, dynamic programming gives each part the
+radius at which it is probed from estimated candidate counts, candidates are verified.
+Two texts at the least similarity differ in so many bits that no set of radii is sure to
+find all of them at a bearable cost, so radii are chosen for a stated chance of a miss.
+"""
 
 from __future__ import annotations
 
+from itertools import chain, combinations
+from math import acos, ceil, comb, log, pi
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import cut, whole
+from spanveil.llm.base import FEW, cut, free, joined, named, whole, without
 from spanveil.llm.components import components
-from spanveil.llm.simhash import in_blocks
-
-#: Two texts of similarity 0.8 share no band once in some 10,000 times.
-BANDS, ROWS = 24, 5
-SIZE = BANDS * ROWS
-_R = np.random.default_rng(5)
-_ODD = _R.integers(0, 2**32, SIZE, dtype=np.uint32) | np.uint32(1)
-_MIX = _R.integers(0, 2**32, SIZE, dtype=np.uint32)
-#: Up to so many texts in a bucket, all pairs are candidates.
-ALL_PAIRS = 32
-#: Candidate keys or nodes that may be broadcast.
-FEW = 500_000
+from spanveil.llm.simhash import BITS, Part, candidates, grouped_bits, in_blocks, sums_by_bit
+
+#: 64-bit words of a fingerprint: those whose parts are probed, and those that go with each probe to verify it.
+PROBED, CARRIED = 16, 2
+#: Chance that no part finds a pair at the least similarity, if its bits differ independently.
+MISS = 1e-3
+#: Cost of looking at a candidate, as a share of that of a probe.
+LOOK = 0.01
+#: Of a bucket with more candidates than so many for each text, a tree is verified first.
+MANY = 3
 #: Pairs of one text that a task compares.
 PER_PART = 500
+_GOLDEN, _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
+
+
+def mixed_up(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * _MIX1
+    h = (h ^ h >> np.uint64(27)) * _MIX2
+    return h ^ h >> np.uint64(31)
+
+
+class WordHashes(dict):
+    """Hashes of words, kept while there is room."""
+
+    def __init__(self, room: int = 200_000):
+        super().__init__()
+        self.room = room
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < self.room:
+            self[word] = h
+        return h
 
 
-def shingles(text: bytes, words: int) -> set[bytes]:
-    """Runs of so many lower-cased words; all of a shorter text."""
+def shingles(text: bytes, words: int, known: WordHashes) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of so many lower-cased words; of all words of a shorter text."""
     own = text.lower().split()
-    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+    one = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+    n, width = max(1, len(own) - words + 1), min(words, len(own))
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = mixed_up(h * _STEP + one[k : k + n])
+    return np.unique(h)
 
 
-def similarity(a: set[bytes], b: set[bytes]) -> float:
-    both = len(a & b)
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
-def sketch(text: bytes, words: int) -> bytes:
-    """The low halves of SIZE MinHash values."""
-    hashes = np.fromiter((xxhash.xxh32_intdigest(x, 42) for x in shingles(text, words)), np.uint32)
-    least = np.full(SIZE, 2**32 - 1, np.uint32)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, ((hashes[at : at + 4096] ^ _MIX[:, None]) * _ODD[:, None]).min(1), out=least)
-    return least.astype("<u2").tobytes()
+def sketch(own: np.ndarray) -> bytes:
+    """The fingerprint: bits that are set in over half of the hashes derived from the shingles, little-endian."""
+    counts, steps = np.zeros((PROBED + CARRIED) * BITS, np.int64), np.arange(1, PROBED + CARRIED + 1, dtype=np.uint64) * _GOLDEN
+    for at in range(0, len(own), 8192):
+        counts += sums_by_bit(mixed_up(own[at : at + 8192, None] + steps))
+    return np.packbits(2 * counts > len(own), bitorder="little").tobytes()
 
 
-def sketches(nodes: DataFrame, words: int) -> DataFrame:
-    """node and sketch, once for each text of nodes (node, text)."""
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest of the text, sketch for each row."""
 
     def run(batches):
+        known = WordHashes()
         for batch in batches:
-            made = [sketch(x.as_py(), words) for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "sketch"])
-
-    return nodes.mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
-
-
-def bucket_pairs(sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows to compare: all that look alike enough, or of a large bucket its spanning forest of greatest similarity."""
-    n = len(sig)
-    if n <= ALL_PAIRS:
-        a, b = np.triu_indices(n, 1)
-        ok = (sig[a] == sig[b]).mean(1) >= least
-        return a[ok], b[ok]
-    best, nearest, left = np.full(n, -1.0), np.zeros(n, np.int64), np.arange(1, n)
-    one, a, b = 0, [], []
-    while len(left):
-        alike = (sig[left] == sig[one]).mean(1)
-        up = alike > best[left]
-        best[left[up]], nearest[left[up]] = alike[up], one
-        at = int(best[left].argmax())
-        one = left[at]
-        if best[one] >= least:
-            a.append(nearest[one])
-            b.append(one)
-        left = np.delete(left, at)
-    return np.array(a, np.int64), np.array(b, np.int64)
+            made = [sketch(shingles(x.as_py(), words, known)) for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "digest", "sketch"])
 
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(whole(text_col), 256)).alias("digest"), whole(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, sketch binary")
 
-def pairs_in_buckets(rows: DataFrame, least: float, block: int) -> DataFrame:
-    """a, b of rows (key, fp, own, sketch) whose buckets lie together."""
 
-    def run(batches):
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.bool_), np.zeros((0, SIZE), np.uint16))
+def bit_counts(nodes: DataFrame) -> np.ndarray:
+    """Within each probed word, how many fingerprints have each two bits set: PROBED tables of 64 x 64, whatever the corpus."""
+
+    def tables(batches):
+        total = np.zeros((PROBED, BITS, BITS), np.int64)
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for at in range(0, len(every), 4096):
+                bits = np.unpackbits(every[at : at + 4096, : PROBED * 8], axis=1, bitorder="little").astype(np.float32).reshape(-1, PROBED, BITS).transpose(1, 0, 2)
+                total += (bits.transpose(0, 2, 1) @ bits).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PROBED), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], ["word", "counts"])
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for word, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[word] = total.get(word, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["word", "counts"])
+
+    out = np.zeros((PROBED, BITS, BITS), np.int64)
+    for r in nodes.select("sketch").mapInArrow(tables, "word int, counts binary").repartition("word").mapInArrow(summed, "word int, counts binary").collect():
+        out[r.word] = np.frombuffer(bytes(r.counts), np.int64).reshape(BITS, BITS)
+    return out
+
 
-        def told(fp, sig):
-            fp, at = np.unique(fp, return_index=True)
-            a, b = bucket_pairs(sig[at], least)
-            return fp[a], fp[b]
+def differing(least: float) -> float:
+    """The share of bits in which two sets of that similarity differ: the angle between them over that of a half turn."""
+    return acos(min(1.0, 2 * least / (1 + least))) / pi
 
-        def out(links):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in ([x for x, _ in links], [y for _, y in links])], ["a", "b"])
 
+def allotted(together: np.ndarray, n: int, least: float, miss: float = MISS) -> list[list[Part]]:
+    """Parts of each probed word and their radii, at least cost for that chance of a miss.
+
+    For each number of parts in a word, dynamic programming over all parts chooses radius
+    -1 (not probed), 0 or 1 for each. A radius costs its probes and the candidates it is
+    estimated to bring; what it gains is the log of the chance that the part misses a pair.
+    """
+    share, best = differing(least), (float("inf"), float("inf"), [])
+    for k in (2, 3, 4, 5, 6, 8):
+        groups = [(word, bits) for word in range(PROBED) for bits in grouped_bits(together[word], n, k)]
+        need = ceil(-log(miss) * 50)
+        state: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for word, bits in groups:
+            near = candidates(bits, together[word], n, 1)
+            hit = [sum(comb(len(bits), d) * share**d * (1 - share) ** (len(bits) - d) for d in range(e + 1)) for e in (0, 1)]
+            options = [(-1, 0, 0.0)] + [(e, int(-log(max(1e-9, 1 - hit[e])) * 50), 1 + e * len(bits) + LOOK * near[e]) for e in (0, 1)]
+            then: dict[int, tuple[float, tuple]] = {}
+            for gain, (cost, radii) in state.items():
+                for e, more, price in options:
+                    at, option = min(need, gain + more), (cost + price, (radii, e))
+                    if at not in then or option[0] < then[at][0]:
+                        then[at] = option
+            state = then
+        gain = max(state)
+        cost, radii = state[gain]
+        if (need - gain, cost) < best[:2]:
+            chosen: list[list[Part]] = [[] for _ in range(PROBED)]
+            for word, bits in reversed(groups):
+                radii, e = radii
+                chosen[word].append(Part(bits, e))
+            best = (need - gain, cost, chosen)
+    return best[2]
+
+
+def probes(nodes: DataFrame, parts: list[list[Part]]) -> DataFrame:
+    """key, node, m0, m1, own: a row for each part's own bucket and for those within its radius."""
+    masks = []
+    for word, own in enumerate(parts):
+        for part in own:
+            if part.radius >= 0:
+                flips = [sum(1 << b for b in x) for k in range(part.radius + 1) for x in combinations(part.bits, k)]
+                masks.append((word, np.uint64(sum(1 << b for b in part.bits)), np.array(flips, np.uint64)))
+
+    names = np.arange(1, len(masks) + 1, dtype=np.uint64) * _GOLDEN
+
+    def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, SIZE)
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), sig)
-            key, fp, own, sig = (np.concatenate(x) for x in zip(held, new, strict=True))
-            if not len(key):
+            if not batch.num_rows:
+                continue
+            node = batch.column(0).to_numpy()
+            every = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            for i, (word, mask, flips) in enumerate(masks):
+                key = mixed_up(((every[:, word] & mask)[:, None] ^ flips) + names[i])
+                own = np.zeros(key.shape, np.bool_)
+                own[:, 0] = True
+                rows = [np.repeat(x, len(flips)) for x in (node, every[:, PROBED].view(np.int64), every[:, PROBED + 1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *map(pa.array, rows), pa.array(own.ravel())], ["key", "node", "m0", "m1", "own"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long, m0 long, m1 long, own boolean")
+
+
+def apart(m: np.ndarray, x, y) -> np.ndarray:
+    """Differing bits of the carried words."""
+    return np.bitwise_count(m[x] ^ m[y]).sum(-1, dtype=np.int64)
+
+
+def tree(m: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within `near` bits over each set of rows that hang together, those of few differing bits first."""
+    label, a, b = np.arange(len(m)), [], []
+    for most in (near // 3, near // 2, 3 * near // 4, near):
+        left = np.arange(len(m))
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                one = todo.pop()
+                hit = apart(m, left, one) <= most
+                found, left = left[hit], left[~hit]
+                todo += found.tolist()
+                for two in found:
+                    if label[one] != label[two]:
+                        label[label == label[two]] = label[one]
+                        a.append(one)
+                        b.append(two)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def bucket_pairs(node: np.ndarray, m: np.ndarray, own: np.ndarray, label: np.ndarray, near: int, many: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes of one bucket to compare, and whether that is all of them.
+
+    All pairs with an owner within `near` bits that different labels have, if they are at
+    most `many` for each row; else a tree of these.
+    """
+    last = np.flatnonzero(own)
+    common = np.unique(label, return_counts=True)
+    common = common[0][common[1].argmax()]
+    # two of the most common label are no pair, so one of each pair has another
+    first = np.flatnonzero(label != common) if (label != common).sum() < len(last) else last
+    a, b, n = [], [], 0
+    for at in range(0, len(first), 256):
+        some = first[at : at + 256]
+        x, y = np.nonzero(apart(m, some[:, None], np.arange(len(m))[None, :]) <= near)
+        x = some[x]
+        ok = (own[x] | own[y]) & (label[x] != label[y])
+        a.append(x[ok])
+        b.append(y[ok])
+        n += int(ok.sum())
+        if n > 2 * many * len(m) + 64:
+            x, y = tree(m, near)
+            ok = label[x] != label[y]
+            return node[x[ok]], node[y[ok]], False
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+    return node[a], node[b], True
+
+
+def pairs_in_buckets(rows: DataFrame, near: int, many: int, block: int) -> DataFrame:
+    """a < b, more (false) for pairs to compare; a key as a with more (true) for a bucket with more pairs than that.
+
+    rows: key, node, m0, m1, own, label, whose buckets lie together, what they own first.
+    """
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            new = None if batch is None else [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = new if held is None else held if new is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if cols is None or not len(cols[0]):
                 continue
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            links = [told(fp[i:j], sig[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-            key, fp, own, sig = (x[starts[-1] :] for x in (key, fp, own, sig))
-            if len(key) > 3 * block:  # what the bucket owns came first and stays
-                links.append(told(fp, sig))
-                key, fp, own, sig = key[own], fp[own], own[own], sig[own]
-            held = (key, fp, own, sig)
-            yield out(links)
-        if len(held[0]):
-            yield out([told(held[1], held[3])])
-
-    return rows.select("key", "fp", "own", "sketch").mapInArrow(run, "a long, b long")
-
-
-def candidate_pairs(nodes: DataFrame, words: int, least: float, block: int) -> DataFrame:
-    """a < b: texts that share a band, each pair once."""
-    known = cut(sketches(nodes, words))
-    width = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.substring("sketch", 1 + width * i, width), F.lit(i)) for i in range(BANDS)))
-    rows = known.select("node", F.explode(keys).alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1"))
-    more = shared.where("n > 2").select("key")
-    more = F.broadcast(more) if more.count() <= FEW else more
-    met = in_blocks(cut(rows.join(more, "key", "left_semi").select("key", F.col("node").alias("fp"), F.lit(True).alias("own"))), block)
-    met = met.join(known, met.fp == known.node).repartition("key").sortWithinPartitions("key", F.col("own").desc(), "fp")
-    found = shared.where("n = 2").select("a", "b").union(pairs_in_buckets(met, least - 0.2, block))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def similar_pairs(nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs whose whole texts have that similarity; pairs of one text are dealt to several tasks if they are many."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = F.broadcast(asked) if asked.count() <= FEW else asked
-    texts = cut(nodes.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            ends = np.r_[starts[1:], len(cols[0])]
+            done = len(starts) if new is None else len(starts) - 1
+            a, b, more = told(cols, starts[:done], ends[:done])
+            if new is not None:
+                held = [x[starts[-1] :] for x in cols]
+                if len(held[0]) > 3 * block:  # what the bucket owns came first and stays
+                    x, y, z = told(held, np.array([0]), np.array([len(held[0])]))
+                    a, b, more = np.r_[a, x], np.r_[b, y], np.r_[more, z]
+                    held = [x[held[4]] for x in held]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+
+    def told(cols, starts, ends):
+        key, node, m0, m1, own, label = cols
+        m, sizes = np.stack([m0, m1], 1).view(np.uint64), ends - starts
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.bool_)]
+        big = sizes > 64
+        for x, y in zip(starts[big], ends[big], strict=True):
+            p, q, whole_ = bucket_pairs(node[x:y], m[x:y], own[x:y], label[x:y], near, many)
+            keys = np.full(0 if whole_ else 1, key[x])
+            a, b, more = [*a, np.minimum(p, q), keys], [*b, np.maximum(p, q), keys], [*more, np.zeros(len(p), np.bool_), np.ones(len(keys), np.bool_)]
+        # small ones together: each row with those after it in its bucket
+        for size in np.unique(sizes[(sizes > 1) & ~big]):
+            left, right = np.triu_indices(size, 1)
+            every = starts[sizes == size]
+            for at in range(0, len(every), max(1, 2_000_000 // len(left))):
+                some = every[at : at + max(1, 2_000_000 // len(left)), None]
+                x, y = (some + left).ravel(), (some + right).ravel()
+                ok = (own[x] | own[y]) & (label[x] != label[y])
+                x, y = x[ok], y[ok]
+                ok = apart(m, x, y) <= near
+                x, y = x[ok], y[ok]
+                a, b, more = [*a, np.minimum(node[x], node[y])], [*b, np.maximum(node[x], node[y])], [*more, np.zeros(len(x), np.bool_)]
+        return np.concatenate(a), np.concatenate(b), np.concatenate(more)
+
+    return rows.select("key", "node", "m0", "m1", "own", "label").mapInArrow(run, "a long, b long, more boolean")
+
+
+def similar_pairs(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts (node, text) have that similarity; pairs of one text are dealt to several tasks if they are many."""
     often = cut(pairs.groupBy("a").count().where(F.col("count") > PER_PART))
     often = F.broadcast(often) if often.count() <= FEW else often
     parts = F.coalesce(F.ceil(F.col("count") / PER_PART), F.lit(1)).cast("int")
@@ -143,13 +300,13 @@ def similar_pairs(nodes: DataFrame, pairs: DataFrame, words: int, least: float)
     others = others.join(texts, others.b == texts.node).select(dealt(F.col("part")), "a", "b", "text")
 
     def run(batches):
-        of, own = None, set()
+        of, own, known = None, np.zeros(0, np.uint64), WordHashes()
         for batch in batches:
             a, b = [], []
             for x, y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), strict=True):
                 if y is None:
-                    of, own = x, shingles(text.as_py(), words)
-                elif x == of and similarity(own, shingles(text.as_py(), words)) >= least:
+                    of, own = x, shingles(text.as_py(), words, known)
+                elif x == of and similarity(own, shingles(text.as_py(), words, known)) >= least:
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -157,26 +314,62 @@ def similar_pairs(nodes: DataFrame, pairs: DataFrame, words: int, least: float)
     return firsts.union(others).repartition("to").sortWithinPartitions("to", "a", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (a hash of the text), component_id and component_node of each document that is similar to another text.
+def similar_nodes(docs: DataFrame, nodes: DataFrame, words: int, least: float, block: int, many: int, text_col: str) -> DataFrame:
+    """node, root of the nodes (digest, node, sketch) that are similar to another."""
+    n, share = nodes.count(), differing(least)
+    carried = CARRIED * BITS
+    near = ceil(carried * share + 3.5 * (carried * share * (1 - share)) ** 0.5)
+    every = in_blocks(probes(nodes, allotted(bit_counts(nodes), n, least)), block, "node")
+    rows = every.withColumn("label", F.col("node"))
+    links = roots = None
+    while True:
+        found = cut(pairs_in_buckets(rows.repartition("key").sortWithinPartitions("key", F.col("own").desc(), "node"), near, many, block))
+        pairs = cut(found.where("not more").select("a", "b").distinct())
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+        asked = cut(asked)
+        asked = F.broadcast(asked) if asked.count() <= FEW else asked
+        texts = docs.select(F.unhex(F.sha2(whole(text_col), 256)).alias("digest"), whole(text_col).alias("text")).join(asked, "digest").select("node", "text")
+        new = similar_pairs(cut(texts.dropDuplicates(["node"])), pairs, words, least)
+        links = cut(new if links is None else links.union(new))
+        roots = components(links)
+        full = found.where("more").select(F.col("a").alias("key")).distinct()
+        if not full.limit(1).count():
+            return roots
+        # buckets with more candidates: those that are not yet linked, more of them at each turn
+        many = 8 * max(many, 1)
+        held = cut(full)
+        held = F.broadcast(held) if held.count() <= FEW else held
+        rows = cut(every.join(held, "key", "left_semi")).join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 20_000, many: int = MANY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), component_id and component_digest of each document that is similar to another text.
 
     Two texts are similar if the sets of their shingles of `words` words have a Jaccard
     similarity of `least` or more; words are lower-cased in A-Z and cut at ASCII white
-    space. component_id is the smallest id that links between similar texts lead to.
-
-    Candidates share one of BANDS bands of ROWS MinHash values. Of a bucket of up to
-    ALL_PAIRS texts all pairs are compared, unless their sketches are far apart; of a
-    larger one the links of a spanning forest that takes the most similar sketches first.
-    Every link is then checked on whole texts.
+    space; a shorter text is one shingle, and texts without words are alike. component_id
+    is the smallest id that links between similar texts lead to. Shingles are compared by
+    64-bit hashes.
+
+    Each distinct text gets a SimHash fingerprint of 18 words of 64 bits from its distinct
+    shingles. Parts of the first 16 are probed (see `allotted`), the last two verify a probe
+    where it meets others, and whole texts decide. A pair at `least` is not met about once
+    in a thousand times, one of greater similarity less often; fingerprints of texts with
+    few shingles differ somewhat more. Of buckets with many candidates, a tree that
+    prefers the nearest is compared first, and then, turn by turn, more of those pairs that
+    are not linked yet, until none is left: no pair that meets is given up.
+
+    Null texts are empty. Null ids take part; a component of null ids only has a null
+    component_id. Ids and rows may repeat. An empty table gives an empty result.
     """
-    nodes = docs.select(F.xxhash64(whole(text_col)).alias("node"), whole(text_col).alias("text"))
-    pairs = cut(candidate_pairs(nodes, words, least, block))
-    roots = components(similar_pairs(nodes, pairs, words, least))
+    rows = cut(sketches(docs, words, id_col, text_col))
+    nodes = cut(rows.groupBy("digest").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    roots = similar_nodes(docs, nodes, words, least, block, many, text_col)
     roots = cut(roots.union(roots.select("root", "root")).distinct())
-    named = F.broadcast(roots) if roots.count() <= FEW else roots
-    members = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("node")).join(named, "node"))
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first")
-    return members.join(members.groupBy("root").agg(first), "root").select("doc_id", "node", F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("component_node"))
+    linked = cut(nodes.select("digest", "n", "node").join(F.broadcast(roots) if roots.count() <= FEW else roots, "node").select("digest", "root", "n"))
+    members = cut(joined(rows.select("doc_id", "digest"), linked, "digest"))
+    firsts = members.groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    return joined(members, cut(firsts), "root").select("doc_id", "digest", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("component_digest"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -184,6 +377,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A document is its id and its text: an id with several texts loses those that go only.
     """
+    gone_id, gone_digest = free(docs.columns, "gone_id", "gone_digest")
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, **how)
-    gone = groups.where((F.col("doc_id") != F.col("component_id")) | (F.col("node") != F.col("component_node"))).where("doc_id IS NOT NULL").select("doc_id", "node").distinct()
-    return docs.join(gone, (docs[id_col] == gone.doc_id) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone.node), "left_anti")
+    gone = groups.where((F.col("doc_id") != F.col("component_id")) | (F.col("digest") != F.col("component_digest"))).where("doc_id IS NOT NULL")
+    gone = cut(gone.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct())
+    return without(docs, gone, (named(id_col) == F.col(gone_id)) & (F.unhex(F.sha2(whole(text_col), 256)) == F.col(gone_digest)))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import cut, whole
+from spanveil.llm.base import FEW, cut, joined, named, whole
 from spanveil.llm.components import components, forest
 
 BITS = 64
@@ -29,7 +29,7 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 65536):
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(own[i : i + words]), 42) for i in range(at, min(n, at + 65536))], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += sums_by_bit(hashes[:, None])
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -41,7 +41,28 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column(1).cast(pa.binary())], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+def sums_by_bit(hashes: np.ndarray) -> np.ndarray:
+    """For 64-bit hashes (rows, columns): in how many rows each bit is set.
+
+    Added up in binary: three rows of one weight become one of that weight and one of
+    twice that.
+    """
+    counts, weight, level = np.zeros(hashes.shape[1] * BITS, np.int64), 1, hashes
+    while len(level):
+        carried = []
+        while len(level) > 2:
+            k = len(level) // 3
+            a, b, c, rest = level[:k], level[k : 2 * k], level[2 * k : 3 * k], level[3 * k :]
+            odd = a ^ b
+            carried.append(a & b | c & odd)
+            level = np.concatenate([odd ^ c, rest])
+        bits = np.unpackbits(np.ascontiguousarray(level, "<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += weight * bits.sum(0, dtype=np.int64)
+        level, weight = np.concatenate(carried) if carried else level[:0], 2 * weight
+    return counts
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -76,13 +97,15 @@ def grouped_bits(together: np.ndarray, n: int, parts: int) -> list[list[int]]:
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     alike = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(alike, 0)
-    left, groups = set(range(BITS)), []
+    left, groups = np.arange(BITS), []
     for k in range(parts):
-        width = len(left) // (parts - k)
-        own = [max(sorted(left), key=lambda b: alike[b, sorted(left)].sum())]
-        while len(own) < width:
-            own.append(max(sorted(left - {*own}), key=lambda b: alike[b, own].sum()))
-        left -= {*own}
+        own, with_own = [], alike[np.ix_(left, left)].sum(1)
+        for _ in range(len(left) // (parts - k)):
+            at = int(with_own.argmax())
+            with_own = np.delete(with_own if own else np.zeros(len(left)), at)
+            own.append(int(left[at]))
+            left = np.delete(left, at)
+            with_own = with_own + alike[left, own[-1]]
         groups.append(sorted(own))
     return groups
 
@@ -174,7 +197,12 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, distance: int
     owned = np.add.reduceat(own.astype(np.int64), starts)
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for i in np.flatnonzero((owned * sizes > small)):
-        x, y = linked(np.unique(fp[starts[i] : starts[i] + sizes[i]]), distance)
+        every = fp[starts[i] : starts[i] + sizes[i]]
+        if owned[i] * sizes[i] <= 4_000_000:
+            left, right = np.nonzero(np.bitwise_count(every[: owned[i], None] ^ every) <= distance)
+            x, y = forest(every[left], every[right])
+        else:
+            x, y = linked(np.unique(every), distance)
         a.append(x)
         b.append(y)
     few = np.flatnonzero((owned > 0) & (sizes > 1) & (owned * sizes <= small))
@@ -226,18 +254,20 @@ def verified_links(rows: DataFrame, distance: int, block: int) -> DataFrame:
     return rows.select("key", "fp", "own").mapInArrow(run, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, block: int, by: str = "fp") -> DataFrame:
     """The rows, those of buckets that own over `block` fingerprints dealt to several buckets.
 
     Each of these owns a share, and meets all fingerprints of the bucket, so no pair is lost.
     """
     large = cut(rows.where("own").groupBy("key").count().where(F.col("count") > block))
-    named = F.broadcast(large) if large.count() <= 100_000 else large
+    if not large.limit(1).count():
+        return rows
+    held = F.broadcast(large) if large.count() <= FEW else large
     parts = F.ceil(F.col("count") / block).cast("int")
-    share = F.pmod(F.xxhash64("fp"), parts)
-    dealt = rows.join(named, "key", "left").withColumn("part", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))))
-    key = F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part"))
-    return dealt.select(key.alias("key"), "fp", (F.col("own") & (F.col("count").isNull() | (share == F.col("part")))).alias("own"))
+    share = F.pmod(F.xxhash64(by), parts)
+    dealt = rows.join(held, "key", "left").withColumn("part", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))))
+    dealt = dealt.withColumn("own", F.col("own") & (F.col("count").isNull() | (share == F.col("part"))))
+    return dealt.withColumn("key", F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part"))).select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,18 +283,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, block: i
     the corpus's own bit counts (see `allotted`), and every candidate is verified. In a
     bucket, fingerprints that hang together give a tree of links and not all pairs; a
     bucket that owns more than `block` is dealt to several. Components come from links by
-    rounds of joins, with nothing but counts on the driver.
+    rounds of joins, with nothing but counts on the driver. Fingerprints and components
+    that many rows have are broadcast, the others joined.
 
     Null texts are empty. Null ids take part; a component of null ids only has a null
     component_id. Repeated rows give repeated rows. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, words, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     together = bit_counts(distinct)
     rows = probes(distinct, allotted(together, distinct.count(), distance))
     rows = in_blocks(rows, block).repartition("key").sortWithinPartitions("key", F.col("own").desc())
     roots = components(verified_links(rows, distance, block))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    known = cut(joined(known.select("fp", F.col("n").alias("rows"), "root"), cut(smallest), "root"))
+    out = joined(fps, known.select("fp", F.col("rows").alias("n"), "component_id"), "fp")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,8 +1,19 @@
 import random
 
+import numpy as np
 import pytest
 
-from spanveil.llm.near_copies import ALL_PAIRS, shingles, similarity, similar_groups, without_near_copies
+from spanveil.llm import near_copies
+from spanveil.llm.near_copies import allotted, differing, similar_groups, tree, without_near_copies
+
+
+def shingles(text, words):
+    own = text.lower().split()
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
 
 
 def brute_groups(rows, least=0.8):
@@ -45,19 +56,19 @@ def test_planted_copies_from_080_to_095_go_and_less_similar_ones_stay(spark):
     assert kept == {*range(0, len(rows), 2), *(i for i, _ in far)}
 
 
-@pytest.mark.parametrize("block", [5_000, 20])
-def test_large_groups_chains_and_edge_cases(spark, block):
+@pytest.mark.parametrize(("block", "many"), [(20_000, 3), (20, 3), (20_000, 0)])
+def test_large_groups_chains_and_edge_cases(spark, block, many):
     r = random.Random(4)
     base = [f"w{i}" for i in range(200)]
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "One"), (4, "oNE"), (5, "ONÉ"), (6, "a b c"), (7, "a  b\tc")]
-    for i in range(8, 8 + 4 * ALL_PAIRS):
+    for i in range(8, 8 + 4 * 32):
         copy = list(base)
         copy[r.randrange(200)] = f"v{i}"
         rows.append((i, " ".join(copy)))
     for i in range(200, 240):  # each is similar to the next ones only
         rows.append((i, " ".join(f"c{k}" for k in range(i * 12, i * 12 + 200))))
     want = [g for g in brute_groups(rows) if len(g) > 1]
-    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block, many=many).collect()
     assert {x.doc_id: x.component_id for x in got} == {i: g[0] for g in want for i in g}
 
 
@@ -71,3 +82,39 @@ def test_an_id_with_two_texts_loses_only_the_copy(spark):
 
 def test_empty_table(spark):
     assert without_near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_radii_are_chosen_for_the_chance_of_a_miss():
+    r = np.random.default_rng(1)
+    together = np.zeros((16, 64, 64), np.int64)
+    bits = r.random((16, 2000, 64)) < 0.5
+    for w in range(16):
+        together[w] = bits[w].astype(int).T @ bits[w].astype(int)
+    probed = {}
+    for n in (2_000, 2_000_000):
+        parts = [p for own in allotted(together * (n // 2_000), n, 0.8) for p in own]
+        assert sorted(b for p in parts for b in p.bits) == sorted([*range(64)] * 16)
+        share, miss = differing(0.8), 1.0
+        for p in parts:
+            k = len(p.bits)
+            miss *= 1 - {-1: 0, 0: (1 - share) ** k, 1: (1 - share) ** k + k * share * (1 - share) ** (k - 1)}[p.radius]
+        assert miss <= 1.2e-3
+        probed[n] = np.mean([len(p.bits) for p in parts])
+    assert probed[2_000] < probed[2_000_000]
+
+
+def test_fingerprints_differ_as_the_similarity_says():
+    r, known, gaps = random.Random(8), near_copies.WordHashes(), []
+    for _ in range(40):
+        a, b = copies_at(r, 0.80, 0.81)
+        x, y = (np.frombuffer(near_copies.sketch(near_copies.shingles(t.encode(), 5, known)), np.uint8) for t in (a, b))
+        gaps.append(np.bitwise_count(x ^ y).sum() / (len(x) * 8))
+    assert abs(np.mean(gaps) - differing(0.8)) < 0.01
+
+
+def test_tree_spans_what_hangs_together():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, (4, 2), np.uint64)
+    m = np.concatenate([b ^ (np.uint64(1) << r.integers(0, 63, (30, 2)).astype(np.uint64)) for b in base])
+    a, b = tree(m, 10)
+    assert len(a) == 4 * 29 and all(x // 30 == y // 30 for x, y in zip(a, b, strict=True))

@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from spanveil.llm.packing import fullest, pack, padding, plan
+from spanveil.llm.pieces import WordIds, pre_tokens
 from spanveil.llm.queries import tokenizer
 from spanveil.llm.token_counts import count_tokens
 
@@ -31,6 +32,24 @@ def test_counts_are_the_library_s(docs, ids):
     assert got == sorted(((a, len(b), len(c), len(c) > 2048) for a, b, c in ids), key=str)
 
 
+@pytest.mark.parametrize("most", [0, 3, 20])
+def test_counts_with_few_pre_tokens_broadcast(docs, ids, most):
+    got = sorted(map(tuple, count_tokens(docs, tokenizer(), most=most).collect()), key=str)
+    assert got == sorted(((a, len(b), len(c), len(c) > 2048) for a, b, c in ids), key=str)
+
+
+def test_another_tokenizer_whose_pieces_take_in_spaces(docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    assert not pre_tokens(path).by_words and pre_tokens(tokenizer()).by_words
+    want = sorted((str(a), len(lib.encode(b or "", add_special_tokens=False).ids)) for a, b in TEXTS)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in count_tokens(docs, path).collect()) == want
+    own = sorted((str(a), lib.encode(b or "", add_special_tokens=False).ids) for a, b in TEXTS)
+    assert sorted((str(a), [*array("I", WordIds(path).of((b or "").encode()))]) for a, b in TEXTS) == own
+
+
 def check_packing(rows, ids, capacity):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
