@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
+    """The session's spark.checkpoint.dir; a folder of this machine only for a session on one machine that sets none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanveil-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -55,8 +57,10 @@ class Files:
             return False
         try:
             stream = self.fs.create(self._path(at), False)
-        except Exception:  # another writer was first
-            return False
+        except Exception:
+            if self.exists(at):  # another writer was first
+                return False
+            raise
         stream.write(bytearray(data))
         stream.close()
         self.fs.setPermission(self._path(at), self.jvm.org.apache.hadoop.fs.permission.FsPermission("600"))

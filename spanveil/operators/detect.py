@@ -17,13 +17,14 @@ def none_found() -> Column:
     return F.array().cast(ENTITIES)
 
 
-def matches(text: Column, regex: str, hint: str | None = None) -> Column:
+def matches(text: Column, regex: str | Column, hint: str | None = None) -> Column:
     """Array of (start, text) of all matches.
 
     The text is scanned for matches and gaps once each, and not at all without one; for
     patterns with a hint, a text without that is not even searched.
     """
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1)).alias("m"), F.split(text, regex, -1).alias("g"))
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+    both = F.arrays_zip(F.regexp_extract_all(text, regex, F.lit(0)).alias("m"), F.split(text, regex, -1).alias("g"))
     empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start int, text string>>").alias("out"))
 
     def step(acc, x):
@@ -31,7 +32,7 @@ def matches(text: Column, regex: str, hint: str | None = None) -> Column:
         more = F.array_append(acc["out"], F.struct(at.alias("start"), x["m"].alias("text")))
         return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(more).alias("out"))
 
-    has = text.rlike(regex) if hint is None else text.contains(hint) & text.rlike(regex)
+    has = F.regexp_like(text, regex) if hint is None else text.contains(hint) & F.regexp_like(text, regex)
     return F.when(has, F.aggregate(both, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start int, text string>>"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions.durable import cut
@@ -57,17 +57,24 @@ def _quoted(x: str) -> str:
     return "".join("\\" + c for c in x)
 
 
-def assigned(docs: DataFrame, known: DataFrame | None = None, label: str | None = None, id_col: str = "doc_id", prefix: str = PREFIX, suffix: str = SUFFIX) -> DataFrame:
-    """The mapping of the entities of docs: `known` rows (see MAPPING) and one for each new key.
+def assigned(docs: DataFrame, known: DataFrame | None = None, label: str | None = None, id_col: str = "doc_id", prefix: str = PREFIX, suffix: str = SUFFIX, start: DataFrame | None = None) -> DataFrame:
+    """The mapping of the entities of docs: `known` rows (see MAPPING) and one for each new key; see `told`."""
+    return told(distinct_entities(docs, id_col), known, label, prefix, suffix, start)
+
+
+def told(entities: DataFrame, known: DataFrame | None = None, label: str | None = None, prefix: str = PREFIX, suffix: str = SUFFIX, start: DataFrame | None = None) -> DataFrame:
+    """The mapping of distinct entities (lookup_key, first): known rows and one for each new key.
 
     A key keeps the token that it has, whatever type it is found as later. Numbers go on
-    from the largest known for the label.
+    from the largest known for the label, or from `start` (label, n) where that is larger.
     """
-    new, start = distinct_entities(docs, id_col), None
+    last = None
     if known is not None:
-        new = new.join(known.select("lookup_key"), "lookup_key", "left_anti")
-        start = counters(known, label, prefix, suffix)
-    ranked = numbered(new, label, start)
+        entities = entities.join(known.select("lookup_key"), "lookup_key", "left_anti")
+        last = counters(known, label, prefix, suffix)
+    if start is not None:
+        last = start.select("label", "n") if last is None else last.unionByName(start.select("label", "n")).groupBy("label").agg(F.max("n").alias("n"))
+    ranked = numbered(entities, label, last)
     rows = ranked.select(token(F.col("label"), F.col("n"), prefix, suffix).alias("pseudonym"), F.col("first.original").alias("original"), "lookup_key", "label", "n")
     return rows if known is None else known.select("pseudonym", "original", "lookup_key", "label", "n").unionByName(rows)
 
@@ -88,3 +95,15 @@ def snapshot(mapping: DataFrame, label: str | None = None, prefix: str = PREFIX,
     pairs = mapping.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("pseudonym", "original")))).alias("pseudo_to_entity"))
     last = counters(mapping, label, prefix, suffix).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("counters"))
     return pairs.crossJoin(last).select(F.to_json(F.struct(F.lit(prefix).alias("prefix"), F.lit(suffix).alias("suffix"), F.lit(label).cast("string").alias("label"), "pseudo_to_entity", "counters")).alias("snapshot"))
+
+
+def restored(spark: SparkSession, snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """The mapping of a snapshot, and its counters (label, n) as they were, which may be ahead of its tokens."""
+    row = spark.createDataFrame([(snapshot,)], "s string").select(F.from_json("s", "prefix string, suffix string, label string, pseudo_to_entity map<string,string>, counters map<string,bigint>").alias("x"))
+    pairs = row.select(F.explode("x.pseudo_to_entity").alias("pseudonym", "original"))
+    return hydrated(pairs), row.select(F.explode("x.counters").alias("label", "n"))
+
+
+def pseudonyms(mapping: DataFrame) -> DataFrame:
+    """pseudonym of all entities, by label and number."""
+    return mapping.orderBy("label", "n").select("pseudonym")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.operators.mapping import PREFIX, SUFFIX, _quoted
-from spanveil.operators.splice import FEW_KEYS, with_own_map
+from spanveil.operators.splice import FEW_IN_MAP, free_names, with_own_map
 
 _BODY = r"\s*[A-Za-z_]+_[0-9]+\s*"
 
@@ -39,13 +39,14 @@ def swapped(text: Column, regex: str, original: Column, key=lambda t: t) -> Colu
 def with_originals(docs: DataFrame, mapping: DataFrame, prefix: str, suffix: str, id_col: str, text_col: str) -> DataFrame:
     """docs with `originals`: a map by token, whole if small, else of the tokens in the document and in what the strict pass makes of it."""
     pairs = mapping.select("pseudonym", "original")
-    if pairs.count() <= FEW_KEYS:
+    if pairs.count() <= FEW_IN_MAP:
         return docs.crossJoin(F.broadcast(pairs.agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("originals"))))
     exact = tokens_of(F.col(text_col), strict_regex(prefix, suffix))
-    first = with_own_map(docs, exact, pairs, "pseudonym", "original", "_first")
-    once = swapped(F.col(text_col), strict_regex(prefix, suffix), F.col("_first"))
+    (name,) = free_names(docs.columns, "first")
+    first = with_own_map(docs, exact, pairs, "pseudonym", "original", name)
+    once = swapped(F.col(text_col), strict_regex(prefix, suffix), F.col(name))
     loose = F.transform(tokens_of(once, lenient_regex(prefix, suffix)), lambda t: named(t, prefix, suffix))
-    return with_own_map(first, F.concat(exact, loose), pairs, "pseudonym", "original", "originals").drop("_first")
+    return with_own_map(first, F.concat(exact, loose), pairs, "pseudonym", "original", "originals").drop(name)
 
 
 def revealed(docs: DataFrame, mapping: DataFrame, lenient: bool = True, prefix: str = PREFIX, suffix: str = SUFFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

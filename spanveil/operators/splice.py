@@ -11,6 +11,10 @@ from spanveil.operators.merge import resolved
 
 #: Keys that a map in each row's plan may hold; more are joined.
 FEW_KEYS = 50_000
+#: A key that more rows ask for is sent to them where they are.
+OFTEN = 2_000
+#: Keys up to which a map in each row is searched key by key.
+FEW_IN_MAP = 200
 
 
 def spliced(text: Column, entities: Column, tokens: Column) -> Column:
@@ -24,24 +28,48 @@ def one_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("tokens"))
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with as many _ before all of them as it takes for none to be taken (in any case)."""
+    known, mark = {x.lower() for x in taken}, "_"
+    while any((mark + x).lower() in known for x in wanted):
+        mark += "_"
+    return [mark + x for x in wanted]
+
+
 def with_own_map(docs: DataFrame, wanted: Column, mapping: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """docs with a map `name` from those keys of the array `wanted` that the mapping has to their values.
 
-    Rows are told apart by a key made here, so ids may be null or repeat.
+    Rows are told apart by a key made here, so ids may be null or repeat. A mapping of few
+    keys is sent to the rows; of a larger one, keys that many rows ask for are, and the
+    others are joined, so no key has its rows in one task.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    asked = rows.select("_row", F.explode(F.array_distinct(wanted)).alias(key))
-    own = asked.join(mapping.select(key, value), key).dropDuplicates(["_row", key]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
-    return rows.join(own, "_row", "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>"))).drop("_row")
+    (row,) = free_names([*docs.columns, name, key, value], "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    asked = rows.select(row, F.explode(F.array_distinct(wanted)).alias(key))
+    own = met(asked, mapping.select(key, value).dropDuplicates([key]), key).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    return rows.join(own, row, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>"))).drop(row)
+
+
+def met(asked: DataFrame, told: DataFrame, key: str, few: int | None = None) -> DataFrame:
+    """asked joined (inner) to told, which has each key once."""
+    few = FEW_KEYS if few is None else few
+    if told.count() <= few:
+        return asked.join(F.broadcast(told), key)
+    often = cut(asked.groupBy(key).count().where(F.col("count") > OFTEN).select(key))
+    if often.count() > few:
+        return asked.join(told, key)
+    hot = F.broadcast(often)
+    return asked.join(F.broadcast(told.join(hot, key)), key).unionByName(asked.join(hot, key, "left_anti").join(told, key))
 
 
 def with_tokens(docs: DataFrame, mapping: DataFrame, id_col: str) -> DataFrame:
     """docs with `tokens`, a map from the keys that a document needs to their tokens.
 
-    A small mapping (its size is counted) goes to every task whole. A larger one is joined
-    to the distinct keys of each row, which come back as one map for it.
+    A mapping of some hundred keys (its size is counted) is one map for all rows, which is
+    searched key by key. A larger one is joined to the distinct keys of each row, which come
+    back as one map for it.
     """
-    if mapping.count() <= FEW_KEYS:
+    if mapping.count() <= FEW_IN_MAP:
         return docs.crossJoin(F.broadcast(one_map(mapping, "lookup_key", "pseudonym")))
     return with_own_map(docs, F.transform("entities", lambda e: lookup_key(e["text"])), mapping, "lookup_key", "pseudonym", "tokens")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from spanveil.operators.merge import NOT_AT_END, NOT_IN_NAMES
@@ -47,10 +48,22 @@ def spans(names: Iterable[str], table: str = "documents", id_col: str = "doc_id"
     return 'SELECT doc_id, ordinal, entity_type, text, start, CAST(start + length(text) AS INT) AS "end", score FROM (' + " UNION ALL ".join(parts) + ")"
 
 
-def boosted(names: Iterable[str]) -> str:
+def literal_spans(name: str, table: str) -> str:
+    """doc_id, text, start, end of a name wherever it stands in any case with no letter, digit or _ beside it."""
+    rx = quoted("(?i)" + re.sub(r"([^\w\s])", r"\\\1", name))
+    word = quoted(r"[\p{L}\p{N}_]")
+    size = "list_transform({}, lambda s: length(s))"
+    start = f"CAST(coalesce(list_sum({size.format('g[1:i]')}), 0) + coalesce(list_sum({size.format('m[1:i-1]')}), 0) AS INT)"
+    cut = f"SELECT doc_id, text AS t, regexp_extract_all(text, {rx}) AS m, regexp_split_to_array(text, {rx}) AS g FROM {table} WHERE regexp_matches(text, {rx})"
+    each = f"SELECT doc_id, t, m[i] AS text, {start} AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({cut}))"
+    free = f"NOT regexp_matches(CASE WHEN start = 0 THEN '' ELSE substr(t, start, 1) END, {word}) AND NOT regexp_matches(substr(t, start + length(text) + 1, 1), {word})"
+    return f'SELECT doc_id, text, start, CAST(start + length(text) AS INT) AS "end" FROM ({each}) WHERE {free}'
+
+
+def boosted(names: Iterable[str], table: str = "documents") -> str:
     before = f"lower(substr(d.text, greatest(s.start - {CONTEXT_CHARS}, 0) + 1, least(s.start, {CONTEXT_CHARS})))"
     near = " OR ".join(f"(entity_type = {quoted(t)} AND (" + " OR ".join(f"contains({before}, {quoted(w)})" for w in words) + "))" for t, words in CONTEXT.items())
-    return f'SELECT doc_id, entity_type, s.text, start, "end", CASE WHEN {near} THEN least(1.0, round(score + {CONTEXT_BOOST}, 4)) ELSE score END AS score FROM ({spans(names)}) s JOIN documents d USING (doc_id)'
+    return f'SELECT doc_id, entity_type, s.text, start, "end", CASE WHEN {near} THEN least(1.0, round(score + {CONTEXT_BOOST}, 4)) ELSE score END AS score FROM ({spans(names, table)}) s JOIN {table} d USING (doc_id)'
 
 
 def over_threshold(rows: str, least: float = 0.5) -> str:
@@ -93,13 +106,13 @@ def rebuilt(rows: str, told: str, value: str, table: str, id_col: str, text: str
 
 def is_name(x: str) -> str:
     words = f"list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> '')"
-    inside = f"list_has_any({words}, [{', '.join(map(quoted, sorted(NOT_IN_NAMES)))}])"
-    at_end = f"{words}[-1] IN ({', '.join(map(quoted, sorted(NOT_AT_END)))})"
+    inside = f"list_has_any({words}, [{', '.join(map(quoted, NOT_IN_NAMES))}])"
+    at_end = f"{words}[-1] IN ({', '.join(map(quoted, NOT_AT_END))})"
     return f"NOT regexp_matches({x}, '[,\\n]') AND length({x}) > 1 AND NOT regexp_matches({x}, '^[a-z0-9._@\\-]+$') AND NOT (len({words}) > 1 AND ({inside} OR {at_end}))"
 
 
 def header_type(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(trim({x})), {quoted(w)})' for w in words.split())} THEN {quoted(t)}" for t, words in HEADER_WORDS) + " END"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(trim({x})), {quoted(w)})' for w in words)} THEN {quoted(t)}" for t, words in HEADER_WORDS) + " END"
 
 
 def table_tokens(table: str, key: str, column: str, kind: str, others: Iterable[str]) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ from spanveil.operators import detect, mapping, merge, plugins, reveal, splice,
 from spanveil.operators.patterns import PATTERNS
 from spanveil.plans import oracles as O
 from spanveil.plans.session import RedactionSession
-from spanveil.sources import bodies, files
+from spanveil.sources import bodies, files, workbooks
 from spanveil.sources.store import expiry, live
 from spanveil.streaming.incremental import redact_stream
+from spanveil.types import RULE_LABELS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,12 +45,45 @@ def query(name: str, sql: str | None = None):
 # detection
 
 
+#: What is put behind the texts, by doc_id, so that each form is met; the other documents stay as they are.
+PLANTED = (
+    " Tel. +49 30 1234567 now.",
+    " ruf 0049 170 1234567 an.",
+    " Fax 030 1234567-12 now.",
+    " Buero (030) 1234567 now.",
+    " SVNR 65 230785 M 014 now.",
+    " Nummer 65230785M014 now.",
+    " Steuer-ID 14 815 037 682 now.",
+    " idnr 14815037682 now.",
+    " Meier, Anna kam.",
+    " Schulz, Dr. Otto kam.",
+    " Lang-Kurz, Eva kam.",
+    " Konto DE89 3704 0044 0532 0130 00 now.",
+    " Konto GB82WEST12345698765432 now.",
+    " Konto DE88370400440532013000 now.",
+    " see https://example.org/a?b=1 now.",
+    " no 123-45-6789 now.",
+    " am 03.10.1990 now.",
+    " on 2024-02-29 now.",
+    " mail Max.Stone+x@example.co.uk now.",
+    " at 10.20.30.40 or 10.20.30.400 now.",
+    " card 4111 1111 1111 1111 or 4111 1111 1111 1112 now.",
+    "",
+)
+_PLANTED_SQL = f"(SELECT doc_id, lang, coalesce(text, '') || list_extract([{', '.join(map(O.quoted, PLANTED))}], CAST(doc_id % {len(PLANTED)} AS INT) + 1) AS text FROM documents)"
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+
+
 def _spans_query(name: str, patterns: tuple[str, ...]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = detect.with_rules(table(spark, sf_dir, "documents"), patterns, context=False)
+        found = detect.with_rules(_planted(spark, sf_dir), patterns, context=False)
         return detect.spans(found).select("doc_id", "entity_type", "text", "start", "end", "score")
 
-    query(name, f'SELECT doc_id, entity_type, text, start, "end", score FROM ({O.spans(patterns)})')(run)
+    query(name, f'SELECT doc_id, entity_type, text, start, "end", score FROM ({O.spans(patterns, _PLANTED_SQL)})')(run)
 
 
 for _name, _patterns in {
@@ -58,18 +93,38 @@ for _name, _patterns in {
     "iban": ("iban",),
     "url": ("url",),
     "ssn": ("ssn",),
-    "date": ("date_dotted", "date_iso"),
-    "phone": NUMBERED[:4],
-    "svnr": NUMBERED[4:6],
-    "steuer_id": NUMBERED[6:],
-    "inverted_name": NAMES,
+    "date_dotted": ("date_dotted",),
+    "date_iso": ("date_iso",),
+    "phone_49": ("phone_49",),
+    "phone_0049": ("phone_0049",),
+    "phone_trunk": ("phone_trunk",),
+    "phone_parens": ("phone_parens",),
+    "svnr_spaced": ("svnr_spaced",),
+    "svnr_compact": ("svnr_compact",),
+    "steuer_grouped": ("steuer_grouped",),
+    "steuer_compact": ("steuer_compact",),
+    "name_plain": ("name_plain",),
+    "name_title": ("name_title",),
+    "name_hyphen": ("name_hyphen",),
+    "every": tuple(p.name for p in PATTERNS),
 }.items():
     _spans_query(f"detect_{_name}_spans", _patterns)
 
 
-@query("detect_with_context", O.boosted((*NUMBERED, *NAMES)))
+@query("detect_with_context", O.boosted((*NUMBERED, *NAMES), _PLANTED_SQL))
 def detect_with_context(spark, sf_dir):
-    return detect.spans(detect.with_rules(table(spark, sf_dir, "documents"), (*NUMBERED, *NAMES))).select("doc_id", "entity_type", "text", "start", "end", "score")
+    return detect.spans(detect.with_rules(_planted(spark, sf_dir), (*NUMBERED, *NAMES))).select("doc_id", "entity_type", "text", "start", "end", "score")
+
+
+_LABELS = ", ".join(f"({O.quoted(k)}, {O.quoted(v)})" for k, v in RULE_LABELS.items())
+
+
+@query("canonical_labels", f"SELECT e.event_type AS label, coalesce(v.t, 'CUSTOM') AS entity_type, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'US_SSN' WHEN 1 THEN 'EMAIL_ADDRESS' WHEN 2 THEN 'NRP' ELSE event_type END AS event_type FROM events) e LEFT JOIN (VALUES {_LABELS}) v(k, t) ON v.k = e.event_type GROUP BY 1, 2")
+def canonical_labels(spark, sf_dir):
+    """Labels of another analyzer by what they are called here; unknown ones are CUSTOM."""
+    known = F.create_map(*(F.lit(x) for kv in RULE_LABELS.items() for x in kv))
+    label = F.when(F.col("event_id") % 4 == 0, "US_SSN").when(F.col("event_id") % 4 == 1, "EMAIL_ADDRESS").when(F.col("event_id") % 4 == 2, "NRP").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(label.alias("label")).groupBy("label", F.coalesce(known[F.col("label")], F.lit("CUSTOM")).alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("card_luhn_valid", f"SELECT o_orderkey, {O.luhn('x')} AS valid FROM (SELECT o_orderkey, CAST(4000000000000000 + o_orderkey * 7919 AS VARCHAR) AS x FROM orders)")
@@ -118,16 +173,24 @@ def ensemble(spark, sf_dir):
     return _columns(merge.ensemble(_raw(spark, sf_dir, _MIXED)))
 
 
-@query("person_validation", f"SELECT doc_id, name, {O.is_name('name')} AS valid FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM documents)")
+@query("person_validation", f"SELECT doc_id, i, name, {O.is_name('name')} AS valid FROM (SELECT doc_id, i, array_to_string(w[i + 1:i + 3], ' ') AS name FROM (SELECT doc_id, w, unnest(range(0, len(w), 3)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))")
 def person_validation(spark, sf_dir):
-    name = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", "name", merge.is_name(F.col("name")).alias("valid"))
+    """Every three words of each text as a name."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    each = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(3))).alias("i"))
+    return each.select("doc_id", F.col("i").cast("long").alias("i"), F.array_join(F.slice("w", F.col("i") + 1, 3), " ").alias("name")).withColumn("valid", merge.is_name(F.col("name")))
 
 
-@query("gazetteer")
+_DICTIONARY = (("Apache", "ORGANIZATION"), ("Apache License", "ORGANIZATION"), ("Berlin", "LOCATION"), ("paris", "LOCATION"), ("+49 30", "CUSTOM"))
+_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS ordinal, {O.quoted(t)} AS entity_type, text, start, \"end\", CAST(0.85 AS DOUBLE) AS score FROM ({O.literal_spans(n, _PLANTED_SQL)})" for i, (n, t) in enumerate(sorted((n.lower(), t) for n, t in _DICTIONARY))
+)
+
+
+@query("gazetteer", f'SELECT doc_id, entity_type, text, start, "end", score FROM {O.folded(_HITS, False)}')
 def gazetteer(spark, sf_dir):
-    found = plugins.with_plugin(table(spark, sf_dir, "documents"), plugins.gazetteer({"ORGANIZATION": ["Apache", "Apache License"], "LOCATION": ["Berlin", "Paris"]}))
-    return _columns(found)
+    found = plugins.gazetteer(_planted(spark, sf_dir), spark.createDataFrame(_DICTIONARY, "name string, entity_type string"))
+    return _columns(found.withColumn("entities", merge.resolved(F.col("entities"))))
 
 
 # counts
@@ -199,6 +262,21 @@ def hydrate_counters(spark, sf_dir):
     return mapping.counters(mapping.hydrated(mapping.assigned(_common(spark, sf_dir)).select("pseudonym", "original")))
 
 
+@query("snapshot_restored", f"SELECT pseudonym, original, lookup_key, label, n, CAST(n + 5 AS BIGINT) AS counter FROM (SELECT *, max(n) OVER (PARTITION BY label) AS last FROM ({_MAPPING})) WHERE n = last")
+def snapshot_restored(spark, sf_dir):
+    """The last token of each label out of a snapshot whose counters are five ahead."""
+    told = mapping.snapshot(mapping.assigned(_common(spark, sf_dir))).select(F.from_json("snapshot", "prefix string, suffix string, label string, pseudo_to_entity map<string,string>, counters map<string,bigint>").alias("x"))
+    ahead = told.select(F.to_json(F.struct("x.prefix", "x.suffix", "x.label", "x.pseudo_to_entity", F.transform_values("x.counters", lambda _, n: n + 5).alias("counters"))).alias("s")).first().s
+    pairs, counters = mapping.restored(spark, ahead)
+    last = pairs.groupBy("label").agg(F.max("n").alias("n"))
+    return pairs.join(last, ["label", "n"]).join(counters.select("label", F.col("n").alias("counter")), "label")
+
+
+@query("pseudonym_list", f"SELECT pseudonym FROM ({_MAPPING})")
+def pseudonym_list(spark, sf_dir):
+    return mapping.pseudonyms(mapping.assigned(_common(spark, sf_dir)))
+
+
 @query("lookup_token", f"SELECT pseudonym, original FROM ({_MAPPING}) WHERE pseudonym = '<<EMAIL_1>>'")
 def lookup_token(spark, sf_dir):
     return reveal.lookup(mapping.assigned(_common(spark, sf_dir)), "<<EMAIL_1>>")
@@ -379,6 +457,43 @@ def reveal_files(spark, sf_dir):
     return session.revealed_files(done).select(_page(F.col("path")), F.lower(F.decode("output", "utf-8")).alias("text"))
 
 
+def _workbooks(spark, sf_dir) -> DataFrame:
+    """A workbook for each nation: its customers with name, contact, segment and balance."""
+
+    @F.pandas_udf("binary")
+    def made(rows: pd.Series) -> pd.Series:
+        return pd.Series([files.xlsx_made([["Customer name", "Contact", "Segment", "Balance"], *([x["c_name"], x["contact"], x["c_mktsegment"], x["c_acctbal"]] for x in own)]) for own in rows])
+
+    contact = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.org"))
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", contact.alias("contact"), "c_mktsegment", "c_acctbal"))).alias("rows"))
+    return rows.select(F.format_string("/in/%02d.xlsx", "c_nationkey").alias("path"), made("rows").alias("content"), F.lit(files.XLSX).alias("mime_type"))
+
+
+def _cells(done: DataFrame) -> DataFrame:
+    grid = workbooks.opened(done.select("path", F.col("output").alias("content")))
+    return grid.select(F.regexp_extract("path", "([0-9]+)", 1).cast("int").alias("nation"), F.explode("grid").alias("c")).where("c.is_text AND c.row > 1").select("nation", "c.row", "c.col", "c.text")
+
+
+_PEOPLE = "SELECT CAST(c_nationkey AS INT) AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS INT) AS row, c_name, 'c' || c_custkey || '@example.org' AS contact, c_mktsegment FROM customer"
+
+
+def _cells_sql(name: str, contact: str) -> str:
+    return f"SELECT nation, row, CAST(1 AS INT) AS col, {name} AS text FROM ({_PEOPLE}) UNION ALL SELECT nation, row, CAST(2 AS INT), {contact} FROM ({_PEOPLE}) UNION ALL SELECT nation, row, CAST(3 AS INT), c_mktsegment FROM ({_PEOPLE})"
+
+
+@query("redact_workbooks", _cells_sql("'<<PERSON_' || row_number() OVER (ORDER BY nation, row) || '>>'", "'<<EMAIL_' || row_number() OVER (ORDER BY nation, row) || '>>'"))
+def redact_workbooks(spark, sf_dir):
+    """One column by its header, one by its first cells; the others stay."""
+    return _cells(RedactionSession(spark).redacted_files(_workbooks(spark, sf_dir)))
+
+
+@query("reveal_workbooks", _cells_sql("c_name", "contact"))
+def reveal_workbooks(spark, sf_dir):
+    session = RedactionSession(spark)
+    done = session.redacted_files(_workbooks(spark, sf_dir)).select("path", F.col("output").alias("content"), "mime_type")
+    return _cells(session.revealed_files(done))
+
+
 # request bodies
 
 
@@ -418,10 +533,25 @@ for _dialect in bodies.DIALECTS:
         return _block_rows(bodies.blocks(bodies.applied(own, results)))
 
 
-@query("inject_instruction", f"SELECT DISTINCT CAST(conv_id AS VARCHAR) AS request_id, {O.quoted(bodies.instruction())} AS told, 'system' AS role FROM conversations")
-def inject_instruction(spark, sf_dir):
-    told = bodies.instructed(_bodies(spark, sf_dir, "openai_chat"))
-    return told.select("request_id", F.get_json_object("body", "$.messages[0].content").alias("told"), F.get_json_object("body", "$.messages[0].role").alias("role"))
+def _flat_bodies(spark, sf_dir, dialect: str) -> DataFrame:
+    """Conversations whose turns are files right below the body: the inputs of one dialect, the system list of another."""
+    if dialect == "openai_responses":
+        part, name = F.struct(F.lit("input_file").alias("type"), T.data_uri(F.encode("text", "utf-8"), F.lit("text/plain")).alias("file_data")), "input"
+    else:
+        part, name = F.struct(F.lit("document").alias("type"), F.struct(F.lit("base64").alias("type"), F.lit("text/plain").alias("media_type"), F.base64(F.encode("text", "utf-8")).alias("data")).alias("source")), "system"
+    grouped = table(spark, sf_dir, "conversations").select("conv_id", "turn", part.alias("p")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "p"))), lambda x: x["p"]).alias("ps"))
+    return grouped.select(F.col("conv_id").cast("string").alias("request_id"), F.lit(dialect).alias("stream_key"), F.to_json(F.struct(F.col("ps").alias(name))).alias("body"))
+
+
+for _dialect, _outer, _kind in (("openai_responses", "input", "input_file"), ("anthropic", "system", "document")):
+    query(f"body_extract_{_dialect}_flat", f"SELECT CAST(conv_id AS VARCHAR) AS request_id, '{_outer}[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ']' AS source_path, '{_kind}' AS source_type, 'text/plain' AS mime_type, text FROM conversations")(lambda spark, sf_dir, d=_dialect: _block_rows(bodies.blocks(_flat_bodies(spark, sf_dir, d))))
+
+for _dialect, _at, _role in (("openai_chat", "$.messages[0].content", "$.messages[0].role"), ("openai_responses", "$.instructions", None), ("anthropic", "$.system", None)):
+
+    @query(f"inject_instruction_{_dialect}", f"SELECT DISTINCT CAST(conv_id AS VARCHAR) AS request_id, {O.quoted(bodies.instruction())} AS told, {O.quoted('system') if _role else 'CAST(NULL AS VARCHAR)'} AS role FROM conversations")
+    def inject_instruction(spark, sf_dir, d=_dialect, at=_at, role=_role):
+        told = bodies.instructed(_bodies(spark, sf_dir, d))
+        return told.select("request_id", F.get_json_object("body", at).alias("told"), (F.get_json_object("body", role) if role else F.lit(None).cast("string")).alias("role"))
 
 
 @query("policy_modes", "SELECT * FROM (VALUES ('passthrough', false, false, false, false), ('detect_only', true, true, false, false), ('block', true, true, false, true), ('pseudonymize', true, true, true, false)) v(mode, extract, detect, pseudonymize, block)")
@@ -435,6 +565,24 @@ def file_rollup(spark, sf_dir):
     return bodies.rollup(done, "block").select("request_id", "files_analyzed", "files_extraction_errors", "total_entities", "blocked", "files_blocked")
 
 
+@query("file_rollup_pseudonymize", f"SELECT source AS request_id, count(DISTINCT d.doc_id) AS files_analyzed, count(DISTINCT s.doc_id) FILTER (s.doc_id % 3 = 0) AS files_converted, count(DISTINCT s.doc_id) FILTER (s.doc_id % 3 <> 0) AS files_reconstructed, count(s.text) AS total_entities, false AS blocked FROM documents d LEFT JOIN ({_FOUND}) s USING (doc_id) GROUP BY source")
+def file_rollup_pseudonymize(spark, sf_dir):
+    """Texts as files of which every third is a PDF, which can't be rebuilt."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "application/pdf").otherwise("text/plain")
+    done = _common(spark, sf_dir).select(F.col("source").alias("request_id"), kind.alias("mime_type"), F.lit(None).cast("string").alias("extraction_error"), "entities")
+    return bodies.rollup(done, "pseudonymize").select("request_id", "files_analyzed", "files_converted", "files_reconstructed", "total_entities", "blocked")
+
+
+@query("conversion_rollup", "SELECT CAST(c_nationkey % 5 AS VARCHAR) AS request_id, count(DISTINCT c_nationkey) AS files_analyzed, count(DISTINCT c_nationkey) AS files_converted, CAST(0 AS BIGINT) AS files_extraction_errors FROM customer GROUP BY 1")
+def conversion_rollup(spark, sf_dir):
+    """Workbooks in requests, turned into text for a provider that takes none."""
+    uri = T.data_uri(F.col("content"), F.lit(files.XLSX))
+    part = F.struct(F.lit("input_file").alias("type"), uri.alias("file_data"))
+    books = _workbooks(spark, sf_dir).select((F.regexp_extract("path", "([0-9]+)", 1).cast("int") % 5).cast("string").alias("request_id"), part.alias("p"))
+    requests = books.groupBy("request_id").agg(F.to_json(F.struct(F.collect_list("p").alias("input"))).alias("body")).withColumn("stream_key", F.lit("openai_responses"))
+    return RedactionSession(spark).converted_bodies(requests)[1]
+
+
 # records that expire
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.functions.durable import cut
-from spanveil.functions.text import bare_mime
+from spanveil.functions.text import bare_mime, lookup_key, stripped
 from spanveil.operators import detect, mapping, merge, plugins, reveal, splice, tables
 from spanveil.sources import bodies as body_source
 from spanveil.sources import files as file_source
+from spanveil.sources import workbooks
 from spanveil.sources.store import Namespace
 
 ONLY_PSEUDONYMIZE = "pseudonymize"
@@ -22,25 +22,33 @@ class RedactionSession:
     """Gives the same entity the same token in all that it redacts.
 
     With a namespace, tokens are kept and go on in later sessions; a namespace has one
-    writer at a time. detectors: functions that make a plug-in (see operators.plugins).
+    writer at a time. detectors: functions that make a plug-in, or names of those that are
+    registered (see operators.plugins). start: a snapshot (see operators.mapping) to go on from.
     rules: names of patterns, all if none are given, no rules at all if empty.
     """
 
-    def __init__(self, spark: SparkSession, namespace: str | None = None, root: str | None = None, least: float = 0.5, label: str | None = None, rules: Iterable[str] | None = None, detectors: Iterable[Callable] = (), overlap: str = "resolve"):
+    def __init__(self, spark: SparkSession, namespace: str | None = None, root: str | None = None, least: float = 0.5, label: str | None = None, rules: Iterable[str] | None = None, detectors: Iterable[Callable | str] = (), overlap: str = "resolve", start: str | None = None):
         if namespace is not None and root is None:
             raise ValueError("a namespace needs a root folder")
         self.spark, self.least, self.label, self.overlap = spark, least, label, overlap
-        self.rules, self.detectors = None if rules is None else [*rules], [*detectors]
+        self.rules, self.detectors = None if rules is None else [*rules], plugins.chosen(detectors)
         self.store = Namespace(spark, root, namespace) if namespace is not None else None
         self.mapping = self.store.load() if self.store else None
+        self.counters = None
+        if start is not None and self.mapping is None:
+            self.mapping, self.counters = mapping.restored(spark, start)
 
     def detected(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with `entities`."""
+        """docs with `entities`; with plug-ins, with `detector_error` too: what went wrong in them, null if nothing."""
         found = docs.withColumn("entities", detect.none_found())
         if self.rules is None or self.rules:
             found = detect.with_rules(found, self.rules, text_col=text_col)
-        for make in self.detectors:
-            found = plugins.with_plugin(found, make, text_col).drop("detector_error")
+        errors = []
+        for i, make in enumerate(self.detectors):
+            found = plugins.with_plugin(found, make, text_col).withColumnRenamed("detector_error", f"detector_error_{i}")
+            errors.append(f"detector_error_{i}")
+        if errors:
+            found = found.withColumn("detector_error", F.nullif(F.concat_ws("; ", *errors), F.lit(""))).drop(*errors)
         return merge.ensemble(found, self.least)
 
     def _keep(self, told: DataFrame) -> None:
@@ -51,7 +59,7 @@ class RedactionSession:
     def redacted(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with `entities`, `n_entities`, `entity_types` and `redacted`."""
         found = cut(self.detected(docs, text_col))
-        self._keep(mapping.assigned(found, self.mapping, self.label, id_col))
+        self._keep(mapping.assigned(found, self.mapping, self.label, id_col, start=self.counters))
         out = splice.pseudonymized(found, self.mapping, self.overlap, id_col, text_col)
         return out.withColumn("n_entities", F.size("entities").cast("long")).withColumn("entity_types", merge.type_counts(F.col("entities")))
 
@@ -78,17 +86,36 @@ class RedactionSession:
 
     def revealed_table(self, df: DataFrame) -> DataFrame:
         """Text cells with their originals again."""
-        known = self._known().agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "original"))).alias("_m"))
+        texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+        if not texts:
+            return df
         exact, loose = reveal.strict_regex(), reveal.lenient_regex()
-        out = df.crossJoin(F.broadcast(known))
-        for f in df.schema.fields:
-            if f.dataType.typeName() == "string":
-                once = reveal.swapped(F.col(f"`{f.name}`"), exact, F.col("_m"))
-                out = out.withColumn(f.name, reveal.swapped(once, loose, F.col("_m"), reveal.named))
-        return out.drop("_m")
+        first, own = splice.free_names(df.columns, "first", "originals")
+        cell = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in texts}
+        found = F.flatten(F.array(*(reveal.tokens_of(x, exact) for x in cell.values())))
+        out = splice.with_own_map(df, found, self._known(), "pseudonym", "original", first)
+        later = F.flatten(F.array(*(F.transform(reveal.tokens_of(reveal.swapped(x, exact, F.col(first)), loose), lambda t: reveal.named(t)) for x in cell.values())))
+        out = splice.with_own_map(out, F.concat(found, later), self._known(), "pseudonym", "original", own)
+        for c in texts:
+            once = reveal.swapped(F.col(f"`{c}`"), exact, F.col(own))
+            out = out.withColumn(c, reveal.swapped(once, loose, F.col(own), reveal.named))
+        return out.select(*(F.col(f"`{c}`") for c in df.columns))
 
     def redacted_files(self, files: DataFrame, **extractors) -> DataFrame:
-        """files (path, content, mime_type) with text, entities, redacted, `output`, `output_name` and errors."""
+        """files (path, content, mime_type) with text, entities, redacted, `output`, `output_name` and errors.
+
+        The cells of workbooks are classified by column (see `redacted_workbooks`); all else
+        is one text. Files are numbered in the order of their paths, workbooks last.
+        """
+        book = bare_mime(F.col("mime_type")) == file_source.XLSX
+        others, books = files.where(~F.coalesce(book, F.lit(False))), files.where(book)
+        if not books.limit(1).count():
+            return self._redacted_flat(others, **extractors)
+        if not others.limit(1).count():
+            return self.redacted_workbooks(books)
+        return self._redacted_flat(others, **extractors).unionByName(self.redacted_workbooks(books), allowMissingColumns=True)
+
+    def _redacted_flat(self, files: DataFrame, **extractors) -> DataFrame:
         read = file_source.extracted(files, **extractors)
         own = self.redacted(read, "path")
         tokens = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
@@ -96,34 +123,51 @@ class RedactionSession:
         done = file_source.rebuilt(own.withColumn("redacted", F.when(F.col("text").isNotNull(), F.col("redacted"))))
         return done.withColumn("output_name", file_source.output_name(F.col("path"), F.col("output").isNotNull())).drop("replacements")
 
+    def redacted_workbooks(self, files: DataFrame, sample_rows: int = tables.SAMPLE_ROWS) -> DataFrame:
+        """XLSX files as `redacted_files` has them, and `columns`: sheet, column, entity_type, method of those classified.
+
+        In each sheet of two rows or more, a column's header (row 1) names its type, or else
+        the first of `sample_rows` text cells below it in which a detector finds something, by
+        its best score. Text cells below the header of such columns are whole tokens,
+        numbered by path, sheet, row and column; other cells stay. A formula that gives a text
+        in such a column goes with what it gave.
+        """
+        (file,) = splice.free_names(files.columns, "file")
+        files = cut(workbooks.opened(files).withColumn(file, F.monotonically_increasing_id()))
+        cells = files.select(file, "path", F.explode("grid").alias("c")).select(file, "path", "c.*")
+        tall = cells.groupBy(file, "sheet").agg(F.max("row").alias("height")).where("height > 1").drop("height")
+        cells = cut(cells.join(tall, [file, "sheet"]))
+        headers = cells.where("row = 1 AND is_text").select(file, "sheet", "col", tables.header_type(F.col("text")).alias("entity_type")).where("entity_type IS NOT NULL").withColumn("method", F.lit("header"))
+        texts = cells.where("row > 1 AND is_text").where(stripped(F.col("text")) != "")
+        sample = texts.where(F.col("row") <= sample_rows + 1).join(headers, [file, "sheet", "col"], "left_anti").withColumn("lang", F.lit("de"))
+        judged = self.detected(sample).where(F.size("entities") > 0)
+        best = F.element_at(F.array_sort(F.transform("entities", lambda e, i: F.struct((-e["score"]).alias("s"), i.alias("i"), e["entity_type"].alias("t")))), 1)["t"]
+        sampled = judged.groupBy(file, "sheet", "col").agg(F.min_by(best, "row").alias("entity_type")).withColumn("method", F.lit("sampled"))
+        columns = cut(headers.unionByName(sampled))
+        named = cut(texts.join(columns.drop("method"), [file, "sheet", "col"]).withColumn("key", lookup_key(F.col("text"))))
+        first = F.struct("path", "sheet", "row", "col", F.col("text").alias("original"), "entity_type")
+        self._keep(mapping.told(named.select(F.col("key").alias("lookup_key"), first.alias("first")).groupBy("lookup_key").agg(F.min("first").alias("first")), self.mapping, self.label, start=self.counters))
+        tokens = splice.met(named, self.mapping.select(F.col("lookup_key").alias("key"), "pseudonym"), "key")
+        entity = F.struct("entity_type", "text", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(1.0).alias("score"), F.lit("columns").alias("source"))
+        filled = tokens.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", "pseudonym", entity.alias("e")))).alias("filled"))
+        told = columns.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("sheet", F.col("col").alias("column"), "entity_type", "method"))).alias("columns"))
+        done = workbooks.filled(files.join(filled, file, "left").join(told, file, "left"))
+        done = done.withColumn("entities", F.coalesce(F.transform("filled", lambda x: x["e"]), detect.none_found())).drop("filled", "grid", file)
+        done = done.withColumn("n_entities", F.size("entities").cast("long")).withColumn("entity_types", merge.type_counts(F.col("entities")))
+        return done.withColumn("output_name", file_source.output_name(F.col("path"), F.col("output").isNotNull()))
+
     def revealed_files(self, files: DataFrame) -> DataFrame:
-        """files with `output`: tokens turned back; null with a `reason` for other types and without a mapping."""
+        """files with `output`: tokens turned back, strictly and then leniently; null with a `reason` for other types and without a mapping."""
         mime = bare_mime(F.col("mime_type"))
         plain = mime.isin(*(m for m in file_source.REVEALED if m not in (file_source.DOCX, file_source.XLSX)))
-        out = self.revealed(files.withColumn("_text", F.when(plain, file_source.plain_text(F.col("content")))), "path", "_text")
-        changed = lambda data, kind, swap: (file_source.docx_changed if kind == file_source.DOCX else file_source.xlsx_changed)(data, swap)
-        token = r"<<[A-Z_]+_[0-9]+>>"
-
-        @F.udf("array<string>")
-        def office_tokens(content, kind):
-            data, found = bytes(content), set()
-            if not file_source.zip_problem(data):
-                changed(data, kind, lambda text: found.update(re.findall(token, text)) or text)
-            return sorted(found)
-
-        @F.udf("binary")
-        def office(content, kind, pairs):
-            data = bytes(content)
-            if file_source.zip_problem(data):
-                return None
-            return changed(data, kind, lambda text: re.sub(token, lambda m: m[0] if pairs.get(m[0]) is None else pairs[m[0]], text))
-
+        text, own = splice.free_names(files.columns, "text", "pairs")
+        out = self.revealed(files.withColumn(text, F.when(plain, file_source.plain_text(F.col("content")))), "path", text)
         is_office = mime.isin(file_source.DOCX, file_source.XLSX)
-        out = splice.with_own_map(out, F.when(is_office, office_tokens("content", mime)), self._known(), "pseudonym", "original", "_pairs")
+        out = splice.with_own_map(out, F.when(is_office, workbooks.tokens_in(F.col("content"), mime)), self._known(), "pseudonym", "original", own)
         some = self._known().limit(1).count() > 0
-        made = F.when(plain, F.encode("revealed", "utf-8")).when(is_office, office("content", mime, F.col("_pairs")))
+        made = F.when(plain, F.encode("revealed", "utf-8")).when(is_office, workbooks.restored(F.col("content"), mime, F.col(own)))
         out = out.withColumn("output", made if some else F.lit(None).cast("binary"))
-        return out.withColumn("reason", F.when(F.lit(not some), "no mapping").when(F.col("output").isNull(), "unsupported type")).drop("_text", "_pairs", "revealed", "n_replaced", "n_unresolved")
+        return out.withColumn("reason", F.when(F.lit(not some), "no mapping").when(F.col("output").isNull(), "unsupported type")).drop(text, own, "revealed", "n_replaced", "n_unresolved")
 
     def analyzed_bodies(self, bodies: DataFrame, mode: str = ONLY_PSEUDONYMIZE, **extractors) -> tuple[DataFrame, DataFrame]:
         """Bodies (request_id, stream_key, body) after the mode, and what was found by request."""
@@ -138,10 +182,11 @@ class RedactionSession:
         results = done.select("request_id", "source_path", "source_type", "mime_type", F.col("redacted").alias("text"), F.col("output").alias("content"))
         return body_source.applied(bodies, results, mode), body_source.rollup(done, mode)
 
-    def converted_bodies(self, bodies: DataFrame, **extractors) -> DataFrame:
-        """Bodies in which files that no provider takes are their text."""
+    def converted_bodies(self, bodies: DataFrame, **extractors) -> tuple[DataFrame, DataFrame]:
+        """Bodies in which files that no provider takes are their text, and by request: files_analyzed, files_converted, files_extraction_errors."""
         found = body_source.blocks(bodies).where(~F.col("mime_type").isin(*file_source.PASSABLE))
-        return body_source.converted(bodies, file_source.extracted(found, **extractors).select("request_id", "source_path", "source_type", "mime_type", "text", "content"))
+        read = cut(file_source.extracted(found, **extractors))
+        return body_source.converted(bodies, read.select("request_id", "source_path", "source_type", "mime_type", "text", "content")), body_source.conversion_rollup(read)
 
 
 def redact(docs: DataFrame, policy: str = ONLY_PSEUDONYMIZE, **how) -> DataFrame:
@@ -149,7 +194,3 @@ def redact(docs: DataFrame, policy: str = ONLY_PSEUDONYMIZE, **how) -> DataFrame
     if policy != ONLY_PSEUDONYMIZE:
         raise NotImplementedError(policy)
     return RedactionSession(docs.sparkSession, **how).redacted(docs)
-
-
-def literal(text: str) -> Column:
-    return F.lit(text)

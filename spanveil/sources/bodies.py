@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import text as T
+from spanveil.sources.files import REBUILT
 
 DIALECTS = ("openai_chat", "openai_responses", "anthropic")
 BLOCKS = "request_id string, source_path string, source_type string, mime_type string, content binary"
@@ -181,17 +182,28 @@ def instructed(bodies: DataFrame, label: str | None = None) -> DataFrame:
 
 
 def rollup(files: DataFrame, mode: str) -> DataFrame:
-    """By request: files_analyzed, extraction errors, entities in all and by type, and whether it is blocked.
+    """By request: files analyzed, converted, reconstructed, blocked and not read, entities in all and by type, and whether it is blocked.
 
-    files: (request_id, extraction_error, entities).
+    files: (request_id, extraction_error, entities) and, if given, (mime_type). Of the files
+    with an entity that a mode replaces, those of a kind that can be rebuilt count as
+    reconstructed, the others as converted (to text).
     """
     size = F.coalesce(F.size("entities"), F.lit(0))
+    kind = F.coalesce(F.col("mime_type").isin(*REBUILT), F.lit(False)) if "mime_type" in files.columns else F.lit(True)
+    replaced, blocks_ = (size > 0) & F.lit(mode == "pseudonymize"), (size > 0) & F.lit(mode == "block")
     totals = files.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("files_analyzed"),
+        F.count_if(replaced & ~kind).alias("files_converted"),
+        F.count_if(replaced & kind).alias("files_reconstructed"),
         F.count_if(F.col("extraction_error").isNotNull()).alias("files_extraction_errors"),
         F.sum(size).cast("long").alias("total_entities"),
-        (F.bool_or(size > 0) & F.lit(mode == "block")).alias("blocked"),
-        F.count_if((size > 0) & F.lit(mode == "block")).alias("files_blocked"),
+        F.bool_or(blocks_).alias("blocked"),
+        F.count_if(blocks_).alias("files_blocked"),
     )
     types = files.select("request_id", F.explode("entities").alias("e")).groupBy("request_id", F.col("e.entity_type").alias("t")).count().groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "count"))).alias("entity_types"))
     return totals.join(types, "request_id", "left")
+
+
+def conversion_rollup(files: DataFrame) -> DataFrame:
+    """By request: files_analyzed, files_converted (those with a text) and files_extraction_errors of (request_id, text, extraction_error)."""
+    return files.groupBy("request_id").agg(F.count(F.lit(1)).alias("files_analyzed"), F.count_if(F.col("text").isNotNull()).alias("files_converted"), F.count_if(F.col("extraction_error").isNotNull()).alias("files_extraction_errors"))

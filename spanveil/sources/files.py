@@ -3,24 +3,63 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from xml.dom import minidom
 from xml.etree import ElementTree
+from xml.parsers.expat import ExpatError
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OOXML = "application/vnd.openxmlformats-officedocument."
-DOCX, XLSX = OOXML + "wordprocessingml.document", OOXML + "spreadsheetml.sheet"
-IMAGES = tuple(f"image/{x}" for x in ("gif", "jpeg", "png", "tiff", "webp"))
-PLAIN = tuple(f"text/{x}" for x in ("csv", "html", "markdown", "plain"))
-FORMATS = {"application/pdf": "pdf", DOCX: "docx", XLSX: "xlsx"} | dict.fromkeys(IMAGES, "image") | dict.fromkeys(PLAIN, "plain")
+# MIME types, and the extensions that stand for them.
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+IMAGES = ("image/png", "image/jpeg", "image/gif", "image/webp", "image/tiff")
+PLAIN = ("text/plain", "text/csv", "text/html", "text/markdown")
+FORMATS = {
+    "application/pdf": "pdf",
+    DOCX: "docx",
+    XLSX: "xlsx",
+    "image/png": "image",
+    "image/jpeg": "image",
+    "image/gif": "image",
+    "image/webp": "image",
+    "image/tiff": "image",
+    "text/plain": "plain",
+    "text/csv": "plain",
+    "text/html": "plain",
+    "text/markdown": "plain",
+}
 PASSABLE = ("application/pdf", *IMAGES, *PLAIN)
 REBUILT = (DOCX, XLSX, *PLAIN)
 REVEALED = (DOCX, XLSX, *PLAIN, "text/tab-separated-values", "application/json")
-EXTENSIONS = {"pdf": "application/pdf", "docx": DOCX, "xlsx": XLSX, "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "txt": "text/plain", "csv": "text/csv", "md": "text/markdown", "html": "text/html", "htm": "text/html", "json": "application/json", "tsv": "text/tab-separated-values"}
+EXTENSIONS = {
+    "pdf": "application/pdf",
+    "docx": DOCX,
+    "xlsx": XLSX,
+    "png": "image/png",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "gif": "image/gif",
+    "webp": "image/webp",
+    "tif": "image/tiff",
+    "tiff": "image/tiff",
+    "txt": "text/plain",
+    "csv": "text/csv",
+    "md": "text/markdown",
+    "html": "text/html",
+    "htm": "text/html",
+    "json": "application/json",
+    "tsv": "text/tab-separated-values",
+}
 OCTETS = "application/octet-stream"
+PDF_KEYS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
+MOST_PIXELS, MOST_SIDE = 50_000_000, 4096
 MOST_BYTES, MOST_PAGES, MOST_UNZIPPED, MOST_RATIO = 25 * 2**20, 50, 200 * 10**6, 100
 
 
@@ -63,8 +102,10 @@ def zip_problem(content: bytes) -> str | None:
     return f"packed more than {MOST_RATIO} times" if size > MOST_RATIO * max(packed, 1) else None
 
 
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+# XML namespaces.
+WORD_NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+W, S = "{" + WORD_NS + "}", "{" + SHEET_NS + "}"
 
 
 def _surfaces(names: list[str]) -> list[str]:
@@ -72,76 +113,184 @@ def _surfaces(names: list[str]) -> list[str]:
     return [n for n in ("word/document.xml", *sorted(x for x in names if x.startswith(("word/header", "word/footer"))), "word/comments.xml") if n in names]
 
 
+def _sheets(names: list[str]) -> list[str]:
+    """Worksheets in the order of their numbers."""
+    return sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet[0-9]*\.xml", x)), key=lambda x: (len(x), x))
+
+
 def docx_text(content: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         found = ["".join(t.text or "" for t in p.iter(W + "t")).strip() for n in _surfaces(z.namelist()) for p in ElementTree.fromstring(z.read(n)).iter(W + "p")]
     return "\n".join(x for x in found if x)
 
 
-def xlsx_cells(content: bytes) -> list[list[list[str | None]]]:
-    """Rows of cells, by sheet."""
+def column_number(reference: str) -> int:
+    """1 for A, 27 for AA; 0 if the reference has no letters."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = 26 * n + ord(c.upper()) - 64
+    return n
+
+
+def xlsx_grid(content: bytes) -> list[list[tuple[int, int, str, bool]]]:
+    """By sheet, its filled cells: row, column (both from 1), what they show, and whether that is text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in si.iter(S + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(S + "si")] if "xl/sharedStrings.xml" in names else []
         sheets = []
-        for n in sorted(x for x in names if x.startswith("xl/worksheets/sheet")):
-            rows = []
+        for n in _sheets(names):
+            cells, at_row = [], 0
             for row in ElementTree.fromstring(z.read(n)).iter(S + "row"):
-                cells = []
+                at_row, at = int(row.get("r") or at_row + 1), 0
                 for c in row.iter(S + "c"):
-                    value = c.find(S + "v")
-                    text = "".join(t.text or "" for t in c.iter(S + "t")) if c.get("t") == "inlineStr" else value.text if value is not None else None
-                    cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
-                rows.append(cells)
-            sheets.append(rows)
+                    at, kind, value = column_number(c.get("r") or "") or at + 1, c.get("t"), c.find(S + "v")
+                    text = "".join(t.text or "" for t in c.iter(S + "t")) if kind == "inlineStr" else value.text if value is not None else None
+                    text = shared[int(text)] if kind == "s" and text is not None else text
+                    if text is not None:
+                        cells.append((at_row, at, text, kind in ("s", "inlineStr", "str")))
+            sheets.append(cells)
     return sheets
 
 
 def xlsx_text(content: bytes) -> str:
-    return "\n".join(" | ".join(c for c in row if c is not None) for sheet in xlsx_cells(content) for row in sheet)
+    """A line for each row, its cells joined by bars."""
+    return "\n".join(" | ".join(c[2] for c in row) for sheet in xlsx_grid(content) for _, row in groupby(sheet, key=lambda c: c[0]))
+
+
+def xlsx_made(rows: list[list[str | float | None]]) -> bytes:
+    """A workbook of one sheet: texts and numbers, nothing for null."""
+    lines = []
+    for i, row in enumerate(rows, 1):
+        cells = []
+        for x, value in enumerate(row):
+            at = f"{column_letters(x + 1)}{i}"
+            if isinstance(value, str):
+                cells.append(f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>')
+            elif value is not None:
+                cells.append(f'<c r="{at}"><v>{value!r}</v></c>')
+        lines.append(f'<row r="{i}">{"".join(cells)}</row>')
+    relations, office = "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    main = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{main}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{main}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{relations}"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{SHEET_NS}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{relations}"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{SHEET_NS}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, xml in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + xml)
+    return out.getvalue()
+
+
+def column_letters(n: int) -> str:
+    out = ""
+    while n:
+        n, k = divmod(n - 1, 26)
+        out = chr(65 + k) + out
+    return out
 
 
 def _rewritten(content: bytes, parts, change) -> bytes:
+    """The package with `change` made to some parts; prefixes, declarations and all else of them stay as they are."""
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        some = parts(z.namelist())
         for info in z.infolist():
             data = z.read(info)
-            if info.filename in parts(z.namelist()):
-                tree = ElementTree.fromstring(data)
-                change(tree)
-                data = ElementTree.tostring(tree, encoding="utf-8", xml_declaration=True)
+            if info.filename in some:
+                tree = minidom.parseString(data)
+                if change(info.filename, tree):
+                    data = tree.toxml(encoding="utf-8", standalone=True)
             new.writestr(info.filename, data)
     return out.getvalue()
 
 
+def _text_of(element) -> str:
+    return "".join(x.data for x in element.childNodes if x.nodeType in (x.TEXT_NODE, x.CDATA_SECTION_NODE))
+
+
+def _set_text(element, text: str) -> None:
+    for x in [*element.childNodes]:
+        element.removeChild(x)
+    element.appendChild(element.ownerDocument.createTextNode(text))
+    if text != text.strip():
+        element.setAttribute("xml:space", "preserve")
+
+
+def _swapped_in(own: list, swap) -> bool:
+    """`swap` on the text that these elements have together; what changes stands in the first."""
+    was = "".join(map(_text_of, own))
+    if not own or (now := swap(was)) == was:
+        return False
+    _set_text(own[0], now)
+    for t in own[1:]:
+        _set_text(t, "")
+    return True
+
+
 def docx_changed(content: bytes, swap) -> bytes:
     """The document with `swap` on the text of each paragraph; what changes stands in its first run."""
+    return _rewritten(content, _surfaces, lambda _, tree: any([_swapped_in([*p.getElementsByTagNameNS(WORD_NS, "t")], swap) for p in tree.getElementsByTagNameNS(WORD_NS, "p")]))
 
-    def change(tree):
-        for p in tree.iter(W + "p"):
-            own = [*p.iter(W + "t")]
-            was = "".join(t.text or "" for t in own)
-            if own and (now := swap(was)) != was:
-                own[0].text = now
-                for t in own[1:]:
-                    t.text = ""
 
-    return _rewritten(content, _surfaces, change)
+def _cell_parts(names: list[str]) -> list[str]:
+    return [*_sheets(names), *(n for n in ("xl/sharedStrings.xml",) if n in names)]
 
 
 def xlsx_changed(content: bytes, swap) -> bytes:
-    """The workbook with `swap` on each text cell; numbers stay."""
+    """The workbook with `swap` on each text cell, and on formulas that give a text and what they gave last; numbers stay."""
 
-    def change(tree):
-        for holder in [*tree.iter(S + "si"), *tree.iter(S + "is")]:
-            own = [*holder.iter(S + "t")]
-            was = "".join(t.text or "" for t in own)
-            if own and (now := swap(was)) != was:
-                own[0].text = now
-                for t in own[1:]:
-                    t.text = ""
+    def change(_, tree):
+        done = [_swapped_in([*x.getElementsByTagNameNS(SHEET_NS, "t")], swap) for name in ("si", "is") for x in tree.getElementsByTagNameNS(SHEET_NS, name)]
+        for c in tree.getElementsByTagNameNS(SHEET_NS, "c"):
+            if c.getAttribute("t") == "str":
+                done += [_swapped_in([x], swap) for name in ("v", "f") for x in c.getElementsByTagNameNS(SHEET_NS, name)]
+        return any(done)
 
-    return _rewritten(content, lambda names: [n for n in names if n == "xl/sharedStrings.xml" or n.startswith("xl/worksheets/sheet")], change)
+    return _rewritten(content, _cell_parts, change)
+
+
+def xlsx_filled(content: bytes, tokens: dict[tuple[int, int, int], str]) -> bytes:
+    """The workbook with the given texts in cells named by sheet (from 0), row and column; a formula there goes."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        order = {n: i for i, n in enumerate(_sheets(z.namelist()))}
+
+    def change(name, tree):
+        done, at_row = False, 0
+        for row in tree.getElementsByTagNameNS(SHEET_NS, "row"):
+            at_row, at = int(row.getAttribute("r") or at_row + 1), 0
+            for c in row.getElementsByTagNameNS(SHEET_NS, "c"):
+                at = column_number(c.getAttribute("r")) or at + 1
+                token = tokens.get((order[name], at_row, at))
+                if token is not None:
+                    made = [tree.createElementNS(SHEET_NS, c.tagName[: -len(c.localName)] + x) for x in ("is", "t")]
+                    _set_text(made[1], token)
+                    made[0].appendChild(made[1])
+                    for x in [*c.childNodes]:
+                        c.removeChild(x)
+                    c.appendChild(made[0])
+                    c.setAttribute("t", "inlineStr")
+                    done = True
+        return done
+
+    filled = _rewritten(content, _sheets, change)
+    return _without_unused(filled)
+
+
+def _without_unused(content: bytes) -> bytes:
+    """The workbook with empty shared strings in place of those that no cell shows any more."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        used = {int(v.text) for n in _sheets(z.namelist()) for c in ElementTree.fromstring(z.read(n)).iter(S + "c") if c.get("t") == "s" for v in c.iter(S + "v") if v.text}
+
+    def change(_, tree):
+        return any([_swapped_in([*x.getElementsByTagNameNS(SHEET_NS, "t")], lambda _: "") for i, x in enumerate(tree.getElementsByTagNameNS(SHEET_NS, "si")) if i not in used])
+
+    return _rewritten(content, lambda names: [n for n in names if n == "xl/sharedStrings.xml"], change)
 
 
 def swapping(pairs: dict[str, str]):
@@ -155,12 +304,47 @@ def swapping(pairs: dict[str, str]):
     return swap
 
 
+def pdf_text(pages: list[str], metadata: dict[str, str | None], ocr: Callable[[int], str] | None = None, most_pages: int = MOST_PAGES, least_chars: int = 100) -> str:
+    """What a PDF reader gives, put together: entries of the information dictionary, then pages, all apart by an empty line.
+
+    A page whose text layer has fewer than `least_chars` characters is read by ocr (its
+    number, from 0), where there is one.
+    """
+    head = "\n".join(f"{k}: {metadata[k]}" for k in PDF_KEYS if metadata.get(k))
+    body = "\n\n".join(ocr(i) if ocr and len(page.strip()) < least_chars else page for i, page in enumerate(pages[:most_pages]))
+    return "\n\n".join(x for x in (head, body) if x)
+
+
+def image_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG, GIF or JPEG, read from its head; nothing for other bytes."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    if content[:4] == b"GIF8" and len(content) >= 10:
+        return int.from_bytes(content[6:8], "little"), int.from_bytes(content[8:10], "little")
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 <= len(content) and content[at] == 0xFF:
+        if 0xC0 <= content[at + 1] <= 0xCF and content[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
+def ocr_size(width: int, height: int) -> tuple[int, int]:
+    """The size at which an image goes to OCR; an error for one with too many pixels."""
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"an image of {width * height} pixels is not opened")
+    longest = max(width, height)
+    return (width, height) if longest <= MOST_SIDE else (int(width * MOST_SIDE / longest), int(height * MOST_SIDE / longest))
+
+
 def extracted(files: DataFrame, pdf=None, ocr=None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """files (content, mime_type) with `text` and `extraction_error`; one of them is null.
 
     Plain formats are decoded by Spark. DOCX and XLSX are read from their XML after a
-    look at the zip directory. pdf (bytes, pages -> text) and ocr (bytes -> text) are
-    plug-ins; without one, such files have an error.
+    look at the zip directory. pdf (bytes, pages -> text, or the pages and metadata that
+    `pdf_text` puts together) and ocr (bytes, size or nothing -> text) are plug-ins; without
+    one, such files have an error. ocr is told the size to scale an image to, and not
+    called for one with too many pixels.
     """
     size_ok, fmt = F.length("content") <= most_bytes, format_of(F.col("mime_type"))
 
@@ -177,9 +361,13 @@ def extracted(files: DataFrame, pdf=None, ocr=None, most_bytes: int = MOST_BYTES
                     problem = zip_problem(data)
                     rows.append((None, problem) if problem else ((docx_text if own == "docx" else xlsx_text)(data), None))
                 elif own == "pdf":
-                    rows.append((pdf(data, MOST_PAGES), None) if pdf else (None, "no PDF extractor"))
+                    read = pdf(data, MOST_PAGES) if pdf else None
+                    rows.append((None, "no PDF extractor") if not pdf else (read if isinstance(read, str) else pdf_text(*read), None))
+                elif not ocr:
+                    rows.append((None, "OCR is off"))
                 else:
-                    rows.append((ocr(data), None) if ocr else (None, "OCR is off"))
+                    size = image_size(data)
+                    rows.append((ocr(data, ocr_size(*size) if size else None), None))
             except Exception as e:
                 rows.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=["text", "error"])
@@ -208,7 +396,7 @@ def rebuilt(files: DataFrame) -> DataFrame:
                         out.append((docx_changed if r.mime_type == DOCX else xlsx_changed)(bytes(r.content), swapping(pairs)))
                     else:
                         out.append(None)
-                except (KeyError, ElementTree.ParseError, zipfile.BadZipFile, ValueError):
+                except (KeyError, ExpatError, ElementTree.ParseError, zipfile.BadZipFile, ValueError):
                     out.append(None)
             pdf["output"] = out
             yield pdf

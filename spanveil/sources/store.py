@@ -62,7 +62,7 @@ class Namespace:
         return plain
 
     def save(self, mapping: DataFrame) -> None:
-        key, (seen, before) = self.key(create=True), self._stored()
+        key, (seen, _) = self.key(create=True), self._stored()
         if seen != (self.version or 0):
             raise RuntimeError("another writer has saved this namespace")
         folder = f"rows-{secrets.token_hex(8)}"
@@ -72,8 +72,10 @@ class Namespace:
             self.files.delete(f"{self.path}/{folder}")
             raise RuntimeError("another writer has saved this namespace")
         self.version = seen + 1
-        if before:
-            self.files.delete(f"{self.path}/{before}")
+        # the version before this one stays, as other sessions may still read it
+        old = f"{self.path}/claim-{seen - 1}"
+        if seen > 1 and self.files.exists(old):
+            self.files.delete(f"{self.path}/{self.files.read(old).decode()}")
 
     def delete(self) -> bool:
         return self.files.delete(self.path)
@@ -94,6 +96,8 @@ class Backend(Protocol):
 
     def delete(self, key: str) -> None: ...
 
+    def ping(self) -> bool: ...
+
 
 class MemoryBackend:
     def __init__(self, spark: SparkSession):
@@ -108,6 +112,9 @@ class MemoryBackend:
     def delete(self, key: str) -> None:
         self.records.pop(key, None)
 
+    def ping(self) -> bool:
+        return True
+
 
 class ParquetBackend:
     """Records appended to a folder; the latest of a key counts, and a null value deletes it."""
@@ -127,6 +134,14 @@ class ParquetBackend:
     def delete(self, key: str) -> None:
         self.put(self.spark.createDataFrame([(key, None, None)], "key string, value binary, expires_at timestamp"))
 
+    def ping(self) -> bool:
+        """Whether the folder's store answers."""
+        try:
+            self.files.exists(self.path)
+        except Exception:
+            return False
+        return True
+
 
 def live(rows: DataFrame, now: Column | None = None) -> DataFrame:
     """Records that have not expired."""

@@ -97,9 +97,9 @@ def test_splice_and_reveal(spark, monkeypatch):
     rows = {r.doc_id: r for r in session.redacted(docs).collect()}
     assert rows[1].redacted == "😀 <<EMAIL_1>>, <<IP_ADDRESS_1>> <<EMAIL_1>>!" and rows[1].entity_types == {"EMAIL": 2, "IP_ADDRESS": 1}
     assert (rows[2].redacted, rows[3].redacted, rows[4].redacted) == ("none", "", None)
-    for few in (splice.FEW_KEYS, 0):  # whole map, then joined
-        monkeypatch.setattr(splice, "FEW_KEYS", few)
-        monkeypatch.setattr(reveal, "FEW_KEYS", few)
+    for few in (splice.FEW_IN_MAP, 0):  # whole map, then joined
+        monkeypatch.setattr(splice, "FEW_IN_MAP", few)
+        monkeypatch.setattr(reveal, "FEW_IN_MAP", few)
         assert session.redacted(docs).where("doc_id = 1").first().redacted == rows[1].redacted
         told = spark.createDataFrame([(1, "<<EMAIL_1>> « email_1 » 《《Ip_Address_1》》 <<EMAIL_99>> <<HEADING>> << 5 >>")], "doc_id long, text string")
         out = session.revealed(told).first()
@@ -114,9 +114,9 @@ def test_both_sizes_of_mapping_give_the_same_whatever_the_ids(spark, monkeypatch
     told = spark.createDataFrame([("<<A_1>>", "see <<B_2>> and << b_3 >>"), ("<<B_2>>", "two"), ("<<B_3>>", "three")], "pseudonym string, original string")
     replies = spark.createDataFrame([(None, "<<A_1>>"), (None, "<<B_2>> <<X_9>>"), (1, "«a_1»"), (1, "<<A_1>><<A_1>>"), (2, None)], "doc_id long, text string")
     got = []
-    for few in (splice.FEW_KEYS, 0):
-        monkeypatch.setattr(splice, "FEW_KEYS", few)
-        monkeypatch.setattr(reveal, "FEW_KEYS", few)
+    for few in (splice.FEW_IN_MAP, 0):
+        monkeypatch.setattr(splice, "FEW_IN_MAP", few)
+        monkeypatch.setattr(reveal, "FEW_IN_MAP", few)
         out = RedactionSession(spark).redacted(docs).select("doc_id", "text", "redacted").collect()
         back = [reveal.revealed(replies, told, lenient).select("doc_id", "text", "revealed", "n_replaced", "n_unresolved").collect() for lenient in (True, False)]
         got.append([sorted(map(str, x)) for x in (out, *back)])
@@ -132,12 +132,38 @@ def test_plugins(spark):
 
     out = plugins.with_plugin(docs, broken)
     assert {r.detector_error for r in out.collect()} == {"OSError: no model"}
-    found = plugins.with_plugin(out, plugins.gazetteer({"LOCATION": ["berlin"], "PERSON": ["Anna"]})).where("doc_id = 1").first().entities
-    assert [(e.entity_type, e.text, e.start) for e in found] == [("PERSON", "Anna", 0), ("LOCATION", "Berlin", 8)]
+    names = spark.createDataFrame([("berlin", "LOCATION"), ("Anna", "PERSON"), ("anna in", "CUSTOM"), ("C++ (x)", "CUSTOM"), ("Ann", "PERSON"), ("?", "CUSTOM"), (None, "PERSON")], "name string, entity_type string")
+    found = {r.doc_id: r.entities for r in plugins.gazetteer(out.unionByName(spark.createDataFrame([(3, "ANNA, c++ (x), Joanna", None)], "doc_id long, text string, detector_error string"), allowMissingColumns=True), names).collect()}
+    assert sorted((e.entity_type, e.text, e.start) for e in found[1]) == [("CUSTOM", "Anna in", 0), ("LOCATION", "Berlin", 8), ("PERSON", "Anna", 0)]
+    assert sorted((e.entity_type, e.text, e.start) for e in found[3]) == [("CUSTOM", "c++ (x)", 6), ("PERSON", "ANNA", 0)] and found[2] == []
+    session = RedactionSession(spark, rules=(), detectors=[broken])
+    assert {r.detector_error for r in session.detected(docs).collect()} == {"OSError: no model"}
     tags = plugins.tagger(lambda texts: [[("PER", 0, 4, 0.987), ("MISC", 0, 1, 1.0)] for _ in texts], only_lang=None)
     assert [(e.entity_type, e.score) for e in plugins.with_plugin(docs.where("doc_id = 1"), tags).first().entities] == [("PERSON", 0.99)]
 
 
+def test_registered_detectors(monkeypatch):
+    monkeypatch.setattr(plugins, "REGISTERED", {})
+    make = plugins.tagger(lambda texts: [[("PER", 0, 4, 0.9), ("LOC", 0, 4, 0.9)] for _ in texts], only_lang=None, only_types=["LOCATION"])
+    plugins.register("here", make)
+    plugins.register("gone", make, lambda: False)
+    assert [e["entity_type"] for e in make()(["Anna"], [None])[0]] == ["LOCATION"]
+    assert plugins.chosen(["here", make]) == [make, make]
+    with pytest.warns(UserWarning, match="gone"):
+        assert plugins.chosen(["all"]) == [make]
+    for name, error in (("gone", RuntimeError), ("other", ValueError)):
+        with pytest.raises(error):
+            plugins.chosen([name])
+
+
+def test_a_snapshot_goes_on_with_its_counters(spark):
+    snapshot = json.dumps({"prefix": "<<", "suffix": ">>", "label": None, "pseudo_to_entity": {"<<EMAIL_1>>": "a@x.de"}, "counters": {"EMAIL": 7}})
+    session = RedactionSession(spark, rules=FEW, start=snapshot)
+    docs = spark.createDataFrame([(1, "A@x.de b@x.de")], "doc_id long, text string")
+    assert session.redacted(docs).first().redacted == "<<EMAIL_1>> <<EMAIL_8>>"
+    assert [r.pseudonym for r in mapping.pseudonyms(session.mapping).collect()] == ["<<EMAIL_1>>", "<<EMAIL_8>>"]
+
+
 def test_tables(spark):
     sheet = spark.createDataFrame([(1, "Anna", "a@x.de", "ok", 5), (2, "anna ", "b@x.de", None, 6), (3, " ", None, "10.0.0.1", 7)], "k int, Name string, Kontakt string, Notes string, Tel int")
     session = RedactionSession(spark)
@@ -171,7 +197,7 @@ def xlsx(rows):
 
 
 def test_files(spark, tmp_path):
-    for name, data in {"a.txt": b"mail a@x.de", "b.docx": docx(["to a@", "x.de"], ["plain"]), "c.xlsx": xlsx([["who", "a@x.de"], ["n", "text"]]), "d.pdf": b"%PDF-1.4", "e.docx": b"no zip", "f.xlsx": zipped({"big": b"0" * 3_000_000}), "g.bin": b"\x00", "h.csv": b"\xff a@x.de"}.items():
+    for name, data in {"a.txt": b"mail a@x.de", "b.docx": docx(["to a@", "x.de"], ["plain"]), "c.xlsx": xlsx([["who", "Email"], ["n", "a@x.de"]]), "d.pdf": b"%PDF-1.4", "e.docx": b"no zip", "f.xlsx": zipped({"big": b"0" * 3_000_000}), "g.bin": b"\x00", "h.csv": b"\xff a@x.de"}.items():
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / name).write_bytes(data)
     session = RedactionSession(spark, rules=FEW)
@@ -179,7 +205,7 @@ def test_files(spark, tmp_path):
     rows = {r.output_name.split("_")[0]: r for r in done.collect()}
     assert bytes(rows["a"].output) == b"mail <<EMAIL_1>>" or b"<<EMAIL_" in bytes(rows["a"].output)
     assert "a@x.de" not in files.docx_text(bytes(rows["b"].output)) and "h@x.de" not in files.docx_text(bytes(rows["b"].output))
-    assert "a@x.de" not in files.xlsx_text(bytes(rows["c"].output)) and "text" in files.xlsx_text(bytes(rows["c"].output))
+    assert "a@x.de" not in files.xlsx_text(bytes(rows["c"].output)) and "who | Email" in files.xlsx_text(bytes(rows["c"].output))
     assert rows["d"].extraction_error == "no PDF extractor" and "zip" in rows["e"].extraction_error and "packed" in rows["f"].extraction_error and "unsupported" in rows["g"].extraction_error
     assert all(rows[k].output is None for k in "defg") and rows["g"].output_name == "g_redacted.txt"
     assert "�" in rows["h"].text
@@ -188,6 +214,50 @@ def test_files(spark, tmp_path):
     assert bytes(texts["/a.txt"].output) == b"mail a@x.de" and "a@x.de" in files.docx_text(bytes(texts["b.docx"].output)) and texts["/d.pdf"].reason == "unsupported type"
 
 
+def test_workbooks(spark):
+    s, odd = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:x14="urn:odd" xmlns:mc="urn:mc" mc:Ignorable="x14"'
+    text = lambda at, t: f'<c r="{at}" t="inlineStr"><is><t>{t}</t></is></c>'
+    shared = f'<sst {s}><si><t>Anna</t></si><si><r><t>Contact </t></r><r><t>person</t></r></si><si><t>left</t></si></sst>'
+    rows = [text("A1", "Name") + text("B1", "Reach") + text("D1", "Notes"), '<c r="A2" t="s"><v>0</v></c>' + text("B2", "a@x.de") + '<c r="C2"><v>5</v></c>' + '<c r="D2" t="s"><v>2</v></c>', '<c r="A3" t="str"><f>"An"&amp;"na"</f><v>anna</v></c>' + text("B3", "none") + '<c r="D3" t="s"><v>1</v></c>']
+    sheet = f'<worksheet {s} {odd}><sheetData>' + "".join(f'<row r="{i}">{r}</row>' for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    one_row = f'<worksheet {s}><sheetData><row r="1">{text("A1", "Name")}</row></sheetData></worksheet>'
+    book = zipped({"xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": one_row, "xl/sharedStrings.xml": shared})
+    session = RedactionSession(spark)
+    df = spark.createDataFrame([("/b.xlsx", bytearray(book), files.XLSX), ("/a.txt", bytearray(b"no data"), "text/plain"), ("/c.xlsx", bytearray(b"no zip"), files.XLSX), ("/d.xlsx", None, files.XLSX)], "path string, content binary, mime_type string")
+    done = {r.path: r for r in session.redacted_files(df).collect()}
+    out = bytes(done["/b.xlsx"].output)
+    assert [[c[2] for c in sheet] for sheet in files.xlsx_grid(out)] == [["Name", "Reach", "Notes", "<<PERSON_1>>", "<<EMAIL_1>>", "5", "left", "<<PERSON_1>>", "<<EMAIL_2>>", "Contact person"], ["Name"]]
+    raw = zipfile.ZipFile(io.BytesIO(out))
+    assert all(b"nna" not in raw.read(n) for n in raw.namelist()) and b'xmlns:x14="urn:odd"' in raw.read("xl/worksheets/sheet1.xml") and b"ns0:" not in raw.read("xl/worksheets/sheet1.xml")
+    assert done["/b.xlsx"].entity_types == {"PERSON": 2, "EMAIL": 2} and {(c.column, c.method) for c in done["/b.xlsx"].columns} == {(1, "header"), (2, "sampled")}
+    assert done["/c.xlsx"].output is None and "zip" in done["/c.xlsx"].extraction_error and done["/d.xlsx"].output is None and bytes(done["/a.txt"].output) == b"no data"
+    loose = zipped({"xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row>{text("A1", "« person_1 »")}{text("B1", "see &lt;&lt;EMAIL_1&gt;&gt; &lt;&lt;X_9&gt;&gt;")}</row></sheetData></worksheet>'})
+    back = session.revealed_files(spark.createDataFrame([("/b.xlsx", bytearray(loose), files.XLSX)], "path string, content binary, mime_type string")).first()
+    assert [c[2] for c in files.xlsx_grid(bytes(back.output))[0]] == ["Anna", "see a@x.de <<X_9>>"]
+
+
+def test_formulas_and_prefixes_in_rewritten_parts():
+    s = 'xmlns:m="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:w14="urn:w14" xmlns:mc="urn:mc" mc:Ignorable="w14"'
+    book = zipped({"xl/worksheets/sheet1.xml": f'<m:worksheet {s}><m:sheetData><m:row r="1"><m:c r="A1" t="str"><m:f>LOWER("a@b.de")</m:f><m:v>a@b.de</m:v></m:c><m:c r="B1"><m:f>1+1</m:f><m:v>2</m:v></m:c></m:row></m:sheetData></m:worksheet>'})
+    out = zipfile.ZipFile(io.BytesIO(files.xlsx_changed(book, files.swapping({"a@b.de": "<<EMAIL_1>>"})))).read("xl/worksheets/sheet1.xml").decode()
+    assert "a@b.de" not in out and "&lt;&lt;EMAIL_1" in out and "<m:v>2</m:v>" in out and 'xmlns:w14="urn:w14"' in out
+    made = files.xlsx_made([["a", 1.5, None], ["<&>", None, "z"]])
+    assert files.xlsx_grid(made) == [[(1, 1, "a", True), (1, 2, "1.5", False), (2, 1, "<&>", True), (2, 3, "z", True)]] and files.column_letters(28) == "AB" and files.column_number("AB12") == 28
+
+
+def test_pdf_pages_and_image_sizes(spark):
+    assert files.pdf_text(["one", "x" * 100], {"Author": "Anna", "Title": "T", "Other": "no", "Subject": ""}) == "Title: T\nAuthor: Anna\n\none\n\n" + "x" * 100
+    assert files.pdf_text(["one", "x" * 100], {}, ocr=lambda i: f"page {i}") == "page 0\n\n" + "x" * 100
+    assert files.pdf_text(["a"] * 60, {}).count("a") == 50 and files.pdf_text([], {"Title": "T"}) == "Title: T"
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    assert files.image_size(png(10, 20)) == (10, 20) and files.image_size(b"GIF89a\x05\0\x06\0") == (5, 6) and files.image_size(b"x") is None
+    assert files.image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\0\x07\0\x09") == (9, 7)
+    assert files.ocr_size(8192, 4096) == (4096, 2048)
+    df = spark.createDataFrame([(bytearray(png(10, 10)), "image/png"), (bytearray(png(10_000, 10_000)), "image/png"), (bytearray(b"%PDF"), "application/pdf")], "content binary, mime_type string")
+    rows = files.extracted(df, pdf=lambda data, pages: (["page"], {"Title": "T"}), ocr=lambda data, size: f"seen {size}").collect()
+    assert [r.text for r in rows] == ["seen (10, 10)", None, "Title: T\n\npage"] and "pixels" in rows[1].extraction_error
+
+
 def test_bodies(spark):
     uri = "data:text/plain;base64,YUB4LmRl"
     chat = {"messages": [{"role": "user", "content": "hi"}, {"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "file", "file": {"file_data": uri}}, {"type": "image_url", "image_url": {"url": "https://x/y"}}, {"type": "file", "file": {"file_id": "f"}}]}]}
@@ -217,6 +287,7 @@ def test_store(spark, tmp_path):
         got = store.load().collect()
         assert [(r.request_id, r.mappings) for r in got] == [("r1", {"<<A_1>>": "x"})] and 0 < got[0].ttl_seconds <= 2_592_000
         assert MappingStore(backend, b"1" * 32).load().count() == 0
+        assert backend.ping()
         store.delete("r1")
         assert store.load().count() == 0
 

@@ -8,7 +8,7 @@ from spanveil.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["detect_email_spans", "detect_ipv4_spans", "detect_inverted_name_spans", "merge_overlaps", "assign_pseudonyms", "continue_namespace", "redact_documents", "reveal_strict", "reveal_stats", "redact_incremental", "redact_table_nation", "classify_columns", "mime_route", "body_extract_anthropic", "body_apply_openai_chat", "file_rollup", "ttl_live_keys"]
+QUICK = ["detect_every_spans", "gazetteer", "redact_workbooks", "merge_overlaps", "assign_pseudonyms", "continue_namespace", "redact_documents", "reveal_strict", "reveal_stats", "redact_incremental", "redact_table_nation", "classify_columns", "mime_route", "body_extract_anthropic", "body_apply_openai_chat", "file_rollup", "ttl_live_keys"]
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,10 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "redacted", "n_entities"]
     assert {*ORACLE_SQL} <= {*QUERIES} <= {*entry.queries()}
+
+
+def test_every_pattern_is_met(duck):
+    """No detection query is empty on either side."""
+    for name in QUERIES:
+        if name.startswith("detect_"):
+            assert duck.sql(f"SELECT count(*) FROM ({ORACLE_SQL[name]})").fetchone()[0] > 0, name
