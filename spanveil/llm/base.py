@@ -88,6 +88,16 @@ def joined(rows: DataFrame, told: DataFrame, key: str, often: int = OFTEN, few:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(told.where(F.col("n") <= often).drop("n"), key))
 
 
+def frequent(told: DataFrame, most: int) -> int:
+    """The least power of two so that at most so many rows of told have such an `n` or more; one if all are few enough."""
+    by = {r.power: r["count"] for r in told.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()}
+    power = max(by, default=-1) + 1
+    while power > 0 and by.get(power - 1, 0) <= most:
+        most -= by.get(power - 1, 0)
+        power -= 1
+    return 2**power
+
+
 def without(docs: DataFrame, gone: DataFrame, is_gone: Column, few: int = FEW) -> DataFrame:
     """docs but those for which `is_gone` holds with a row of gone; a gone of few rows is broadcast."""
     return docs.join(F.broadcast(gone) if gone.count() <= few else gone, is_gone, "left_anti")

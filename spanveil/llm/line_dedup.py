@@ -8,44 +8,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import cut, whole
+from spanveil.llm.base import FEW, frequent, named, stored, whole
 
 #: Sketches of 2^12 registers: their relative standard error.
 LG_K, ERROR = 12, 1.04 / 64
-#: Into how many parts the rows of one line are dealt.
-SALTS = 16
 
 
-def site_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
-    """site and hash of each line with a word, and a salt from the document's id."""
-    lines = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.split(whole(text_col), "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("site", "salt", F.xxhash64("line").alias("line"))
+def site_lines(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
+    """site and hash of each line with a word."""
+    lines = docs.select(F.coalesce(named(site_col).cast("string"), F.lit("")).alias("site"), F.explode(F.split(whole(text_col), "\n", -1)).alias("line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("site", F.xxhash64("line").alias("line"))
 
 
-def only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines that are wanted. The rows of one line meet in SALTS parts, not in one."""
-    every = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return lines.join(every, ["line", "salt"], "left_semi")
+def shared_lines(docs: DataFrame, sites: int = 5, site_col: str = "source", text_col: str = "text") -> DataFrame:
+    """line, n: hashes of the lines that stand in texts of `sites` sites or more, and how often they occur.
 
-
-def shared_lines(docs: DataFrame, sites: int = 5, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """line: hashes of the lines that stand in texts of `sites` sites or more.
-
-    A line that occurs less often than that is out by a count. For the others, a
-    HyperLogLog sketch of the sites is built for each salt and merged by aggregation, so a
-    line that a third of all rows hold is dealt to SALTS tasks. Where the estimate is
-    within four standard errors of the threshold (and one site), the distinct sites are
-    counted exactly, after each salt has made its own distinct.
+    Each task counts a line and sketches its sites by HyperLogLog where it reads it, and
+    these are merged, so that a line that a third of all rows hold is one row a task. A
+    line that occurs less often than that is out. Where the estimate is within four standard
+    errors of the threshold (and one site), the distinct sites are counted exactly, after
+    each task has made its own pairs of line and site distinct.
     """
-    lines = site_lines(docs, id_col, site_col, text_col)
-    often = lines.groupBy("line").count().where(F.col("count") >= sites).select("line")
-    sketches = only(lines, often).groupBy("line", "salt").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    spread = cut(sketches.groupBy("line").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about")))
+    lines = site_lines(docs, site_col, text_col)
+    sketched = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    spread = stored(sketched.where(F.col("n") >= sites).select("line", "n", F.hll_sketch_estimate("sketch").alias("about")))
     margin = 1 + 4 * ERROR * sites
-    near = spread.where(F.abs(F.col("about") - sites) <= margin).select("line")
-    pairs = only(lines, near).groupBy("line", "salt", "site").agg(F.lit(1).alias("one"))
-    exact = pairs.select("line", "site").distinct().groupBy("line").count().where(F.col("count") >= sites).select("line")
-    return spread.where(F.col("about") > sites + margin).select("line").unionByName(exact)
+    near = spread.where(F.abs(F.col("about") - sites) <= margin).select("line", "n")
+    if near.count() <= FEW:
+        pairs = lines.join(F.broadcast(near), "line").groupBy("line", "n", "site").agg(F.lit(1).alias("one"))
+    else:
+        pairs = lines.groupBy("line", "site").agg(F.lit(1).alias("one")).join(near, "line")
+    exact = pairs.groupBy("line", "n").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= sites).select("line", "n")
+    return spread.where(F.col("about") > sites + margin).select("line", "n").unionByName(exact)
 
 
 def without_lines(text: str, drop) -> tuple[str, int, int]:
@@ -55,40 +49,47 @@ def without_lines(text: str, drop) -> tuple[str, int, int]:
     return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), len(lines), int(sum(gone))
 
 
-def line_dedup(docs: DataFrame, sites: int = 5, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", most_broadcast: int = 2_000_000) -> DataFrame:
+def line_dedup(docs: DataFrame, sites: int = 5, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, text without the lines that `sites` sites or more share, n_lines, n_removed.
 
     Lines are what \\n parts; they are equal when no byte differs; a line without a word
-    stays. All copies of a shared line go. Where the shared lines are more than
-    `most_broadcast`, they are joined to the lines of each document instead of broadcast.
+    stays. All copies of a shared line go. The most frequent shared lines, at most
+    `most_broadcast`, are broadcast as hashes. Where there are more, the lines of each
+    document that are not among these are joined to the rarer ones, none of which is in
+    many rows.
 
     A null text is empty and has one line; null sites are one site; ids may be null or
     repeat; an empty table gives an empty result.
     """
-    shared = cut(shared_lines(docs, sites, id_col, site_col, text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    shared = stored(shared_lines(docs, sites, site_col, text_col))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     schema = "doc_id long, text string, n_lines long, n_removed long"
-    if shared.count() <= most_broadcast:
-        known = np.sort(np.array([r.line for r in shared.toLocalIterator()], np.int64))
-
-        def listed(lines):
-            hashes = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in lines], np.uint64).view(np.int64)
-            word = np.array([bool(x.strip(" \t\n\r\x0b\x0c")) for x in lines])
-            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            return (known[at] == hashes) & word if len(known) else np.zeros(len(lines), np.bool_)
-
-        def run(batches):
-            for batch in batches:
-                out = [without_lines(x.as_py(), listed) for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
-
-        return rows.mapInArrow(run, schema)
-    rows = rows.withColumn("row", F.xxhash64("doc_id", F.sha2("text", 256)))
-    lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("row", "at", F.xxhash64("line").alias("line"))
-    gone = lines.join(shared, "line").groupBy("row").agg(F.collect_set("at").alias("gone"))
-    own = F.split("text", "\n", -1)
-    told = rows.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    return told.select("doc_id", F.array_join(F.filter(own, lambda _, i: ~F.array_contains("gone", i)), "\n").alias("text"), F.size(own).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    least = frequent(shared, most_broadcast)
+    packed = shared.where(F.col("n") >= least).select("line").toPandas()["line"].to_numpy(np.int64)
+    known = np.sort(packed)
+
+    def listed(lines):
+        hashes = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in lines], np.uint64).view(np.int64)
+        word = np.array([bool(x.strip(" \t\n\r\x0b\x0c")) for x in lines])
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        return (known[at] == hashes) & word if len(known) else np.zeros(len(lines), np.bool_)
+
+    def run(batches):
+        for batch in batches:
+            out = [without_lines(x.as_py(), listed) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+
+    done, rare = rows.mapInArrow(run, schema), shared.where(F.col("n") < least).select("line")
+    if not rare.limit(1).count():
+        return done
+    # a row of its own, as ids may repeat; the rest of the text is cut again
+    done = stored(done.withColumn("row", F.monotonically_increasing_id()))
+    lines = done.select("row", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("row", "at", F.xxhash64("line").alias("line"))
+    gone = lines.join(rare, "line").groupBy("row").agg(F.collect_list("at").alias("gone"))
+    told = done.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    # all lines of a text may be gone already: what is left of it is then no line
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
+    return told.select("doc_id", F.array_join(left, "\n").alias("text"), "n_lines", (F.col("n_removed") + F.size("gone")).cast("long").alias("n_removed"))
 
 
 ORACLE = r"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import named, stored, whole
+from spanveil.llm.base import frequent, named, stored, whole
 from spanveil.llm.pieces import pre_tokens
 
 #: Pre-tokens that are broadcast, none over LONGEST bytes: some 60 MB in a worker.
@@ -44,16 +44,6 @@ def distinct_pre_tokens(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     return words.mapInArrow(measure, "word binary, n long, pieces long")
 
 
-def frequent(table: DataFrame, most: int) -> int:
-    """The least power of two so that at most so many pre-tokens are as frequent; one if all are few enough."""
-    by = {r.power: r["count"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()}
-    power = max(by, default=-1) + 1
-    while power > 0 and by.get(power - 1, 0) <= most:
-        most -= by.get(power - 1, 0)
-        power -= 1
-    return 2**power
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than `limit` tokens) for each row.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.base import whole
+from spanveil.llm.base import named, stored, whole
 
 ORDERS, TABLE_BITS = (4, 6), 19
 #: Code points under 128 as the n-grams see them: letters in lower case, all else a space.
@@ -87,19 +87,54 @@ def telling(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int)
     return np.sort(best[g[best] > 24])
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, scale: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+def encoded(places: np.ndarray, width: int) -> bytes:
+    """Which of `width` places are present: as numbers where they are few, else as bits; never more than width / 8 bytes and one."""
+    if 4 * len(places) < width // 8:
+        return b"\0" + places.astype("<i4").tobytes()
+    bits = np.zeros(width, np.bool_)
+    bits[places] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def decoded(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4", offset=1) if data[:1] == b"\0" else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=width))
+
+
+class Presence:
+    """Features of the rows (see `encoded`), a block of rows at a time: unpacked for good where that takes little room, else each time."""
+
+    def __init__(self, rows: list[bytes], width: int, block: int = 500, room: int = 1_000_000):
+        self.width, self.blocks = width, []
+        for at in range(0, len(rows), block):
+            some = rows[at : at + block]
+            pairs = self.unpacked(some)
+            self.blocks.append((at, at + len(some), some, pairs if len(pairs[0]) <= room else None))
+
+    def unpacked(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        own = [decoded(x, self.width) for x in rows]
+        return np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), np.concatenate(own).astype(np.int32)
+
+    def __iter__(self):
+        for first, last, rows, pairs in self.blocks:
+            yield first, last, *(self.unpacked(rows) if pairs is None else pairs)
+
+
+def fit(features: Presence, labels: np.ndarray, scale: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression, the rarer label weighing by the root of its rarity more, by full-batch Adam.
 
-    The pairs (row, column) are where a feature is present; its value there is scale[column].
+    A feature's value is scale[its number] where it is present.
     """
-    w, b, n = np.zeros(len(scale)), 0.0, len(labels)
+    w, b = np.zeros(len(scale)), 0.0
     weight = 1 / np.sqrt(np.maximum(np.bincount(labels, minlength=2), 1))[labels]
     weight /= weight.sum()
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for k in range(1, rounds + 1):
-        z = np.bincount(rows, (w * scale)[columns], n) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels)
-        gradient = np.r_[np.bincount(columns, error[rows], len(scale)) * scale + penalty * w, error.sum()]
+        gradient, own = np.r_[penalty * w, 0.0], w * scale
+        for first, last, rows, columns in features:
+            z = np.bincount(rows, own[columns], last - first) + b
+            error = weight[first:last] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[first:last])
+            gradient[:-1] += np.bincount(columns, error[rows], len(scale)) * scale
+            gradient[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         step = 0.05 * (1 - 0.9 * k / rounds) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -109,13 +144,17 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, scale: np.nda
 def train(labelled: DataFrame, most_rows: int = 8000, most_grams: int = 20_000, parts: int = 12) -> Model:
     """A model from (doc_id, text, toxic 0/1).
 
-    Fitted on `most_rows` labelled rows, taken in the order of a hash of their id and text's length;
-    rows with a null label are left out. The driver gets presence counts by table place
-    from `parts` tasks, and then the telling n-grams of each of these rows, so its memory
-    depends on these parameters and not on the length of texts. Without rows of both
-    labels, every text scores the share of toxic rows (or a half, without any).
+    Fitted on `most_rows` labelled rows (more only where hashes tie), those with the lowest
+    hash of their id and text's length; rows with a null label are left out. The rows are
+    written once. The driver gets presence counts by table place from `parts` tasks, and
+    then which of the telling n-grams each of these rows has, in `most_grams` / 8 bytes or
+    less, so its memory depends on these parameters and not on the length of texts. Without
+    rows of both labels, every text scores the share of toxic rows (or a half, without any).
     """
-    sample = labelled.where(F.col("toxic").isin(0, 1)).select("toxic", "text", F.xxhash64("doc_id", F.length("text")).alias("h")).orderBy("h", "toxic").limit(most_rows).select("toxic", "text").repartition(parts)
+    sample = stored(labelled.where(F.col("toxic").isin(0, 1)).select("toxic", "text", F.xxhash64("doc_id", F.length("text")).alias("h")))
+    if sample.count() > most_rows:
+        sample = sample.where(F.col("h") <= sample.select("h").orderBy("h").limit(most_rows).agg(F.max("h")).first()[0])
+    sample = sample.repartition(parts, "h")
 
     def presence(batches):
         counts = np.zeros((2, 1 << TABLE_BITS), np.int32)
@@ -139,26 +178,22 @@ def train(labelled: DataFrame, most_rows: int = 8000, most_grams: int = 20_000,
 
     def features(batches):
         for batch in batches:
-            own = [unique_grams([x], wanted)[1].astype(np.int32).tobytes() for x in batch.column(1).to_pylist()]
+            own = [encoded(np.searchsorted(places, unique_grams([x], wanted)[1]), len(places)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["toxic", "grams"])
 
     got = sorted((r.toxic, bytes(r.grams)) for r in sample.mapInArrow(features, "toxic int, grams binary").collect())
-    labels = np.array([x for x, _ in got])
-    own = [np.frombuffer(g, np.int32) for _, g in got]
-    rows = np.repeat(np.arange(len(own)), [len(g) for g in own])
-    columns = np.searchsorted(places, np.concatenate(own))
     scale = ratios(total[1], total[0], n_pos, n_neg)[places]
     weight = np.zeros(1 << TABLE_BITS)
-    w, bias = fit(rows, columns, labels, scale)
+    w, bias = fit(Presence([g for _, g in got], len(places)), np.array([x for x, _ in got]), scale)
     weight[places] = w * scale
     return Model(weight, bias)
 
 
-def learnt(docs: DataFrame, labels: DataFrame, most_rows: int) -> Model:
-    """A model from the labels of documents that are not held out."""
+def learnt(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from the labels (doc_id, toxic) of documents that are not held out; only their texts are fetched."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isNotNull())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
-    texts = docs.select(F.col("doc_id"), whole().alias("text"))
+    texts = docs.select(named(id_col).alias("doc_id"), whole(text_col).alias("text"))
     return train(texts.join(F.broadcast(chosen), "doc_id"), most_rows)
 
 
@@ -175,12 +210,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = own.scores(batch.column(1).to_pylist()) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with the columns of docs; learns as `toxicity` does."""
-    model = learnt(docs, labels, most_rows)
+    model = learnt(docs, labels, most_rows, text_col=text_col)
     places = np.flatnonzero(model.weight)
     few, at = (places.astype(np.int32), model.weight[places].astype(np.float32), model.bias), docs.columns.index(text_col)
 
