@@ -189,23 +189,27 @@ def apart(m: np.ndarray, x, y) -> np.ndarray:
 
 
 def tree(m: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within `near` bits over each set of rows that hang together, those of few differing bits first."""
-    label, a, b = np.arange(len(m)), [], []
+    """Links within `near` bits over each set of rows that hang together, those of few differing bits first.
+
+    Sets for fewer bits lie within those for more, so a larger number adds links between sets only.
+    """
+    label, a, b = np.arange(len(m)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for most in (near // 3, near // 2, 3 * near // 4, near):
-        left = np.arange(len(m))
+        left, now, n = np.arange(len(m)), np.zeros(len(m), np.int64), 0
         while len(left):
-            todo, left = [left[0]], left[1:]
+            todo, left, n = [left[0]], left[1:], n + 1
+            now[todo[0]] = n
             while todo and len(left):
                 one = todo.pop()
                 hit = apart(m, left, one) <= most
                 found, left = left[hit], left[~hit]
+                now[found] = n
                 todo += found.tolist()
-                for two in found:
-                    if label[one] != label[two]:
-                        label[label == label[two]] = label[one]
-                        a.append(one)
-                        b.append(two)
-    return np.array(a, np.int64), np.array(b, np.int64)
+                found = found[label[found] != label[one]]
+                a.append(np.full(len(found), one))
+                b.append(found)
+        label = now
+    return np.concatenate(a), np.concatenate(b)
 
 
 def bucket_pairs(node: np.ndarray, m: np.ndarray, own: np.ndarray, label: np.ndarray, near: int, many: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -288,6 +292,21 @@ def pairs_in_buckets(rows: DataFrame, near: int, many: int, block: int) -> DataF
     return rows.select("key", "node", "m0", "m1", "own", "label").mapInArrow(run, "a long, b long, more boolean")
 
 
+def screened(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The pairs whose whole fingerprints differ in no more bits than is likely for that share."""
+    bits = (PROBED + CARRIED) * BITS
+    most = ceil(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, PROBED + CARRIED) for i in (2, 3))
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns[:2], ["a", "b"])
+
+    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def similar_pairs(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose whole texts (node, text) have that similarity; pairs of one text are dealt to several tasks if they are many."""
     often = cut(pairs.groupBy("a").count().where(F.col("count") > PER_PART))
@@ -321,17 +340,17 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, words: int, least: float, b
     near = ceil(carried * share + 3.5 * (carried * share * (1 - share)) ** 0.5)
     every = in_blocks(probes(nodes, allotted(bit_counts(nodes), n, least)), block, "node")
     rows = every.withColumn("label", F.col("node"))
-    links = roots = None
+    roots = None
     while True:
         found = cut(pairs_in_buckets(rows.repartition("key").sortWithinPartitions("key", F.col("own").desc(), "node"), near, many, block))
-        pairs = cut(found.where("not more").select("a", "b").distinct())
+        pairs = cut(screened(found.where("not more").select("a", "b").distinct(), nodes, share))
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
         asked = cut(asked)
         asked = F.broadcast(asked) if asked.count() <= FEW else asked
         texts = docs.select(F.unhex(F.sha2(whole(text_col), 256)).alias("digest"), whole(text_col).alias("text")).join(asked, "digest").select("node", "text")
         new = similar_pairs(cut(texts.dropDuplicates(["node"])), pairs, words, least)
-        links = cut(new if links is None else links.union(new))
-        roots = components(links)
+        # what hangs together so far is as many links as nodes
+        roots = cut(components(new if roots is None else new.union(roots)))
         full = found.where("more").select(F.col("a").alias("key")).distinct()
         if not full.limit(1).count():
             return roots
@@ -353,7 +372,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, block: i
 
     Each distinct text gets a SimHash fingerprint of 18 words of 64 bits from its distinct
     shingles. Parts of the first 16 are probed (see `allotted`), the last two verify a probe
-    where it meets others, and whole texts decide. A pair at `least` is not met about once
+    where it meets others, then the whole fingerprint does, and whole texts decide. A pair at `least` is not met about once
     in a thousand times, one of greater similarity less often; fingerprints of texts with
     few shingles differ somewhat more. Of buckets with many candidates, a tree that
     prefers the nearest is compared first, and then, turn by turn, more of those pairs that

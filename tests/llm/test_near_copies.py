@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from spanveil.llm import near_copies
+from spanveil.llm.components import forest
 from spanveil.llm.near_copies import allotted, differing, similar_groups, tree, without_near_copies
 
 
@@ -117,4 +118,5 @@ def test_tree_spans_what_hangs_together():
     base = r.integers(0, 2**63, (4, 2), np.uint64)
     m = np.concatenate([b ^ (np.uint64(1) << r.integers(0, 63, (30, 2)).astype(np.uint64)) for b in base])
     a, b = tree(m, 10)
-    assert len(a) == 4 * 29 and all(x // 30 == y // 30 for x, y in zip(a, b, strict=True))
+    nodes, roots = forest(a.astype(np.uint64), b.astype(np.uint64))
+    assert {*zip(nodes.tolist(), roots.tolist(), strict=True)} == {(i, i // 30 * 30) for i in range(120) if i % 30} and len(a) < 4 * 4 * 30

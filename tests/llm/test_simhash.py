@@ -101,9 +101,24 @@ def test_linked_and_forest_hold_together_the_same():
     assert [root.get(x, x) for x in fps.tolist()] == brute_components([(x, x) for x in fps.tolist()])
 
 
-def test_components_of_a_chain_a_star_and_nulls(spark):
+def test_forest_holds_together_what_links_do():
+    for seed in range(300):
+        r = random.Random(seed)
+        n = r.randint(2, 60)
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 2 * n))]
+        root = [*range(n)]
+        for _ in range(n):
+            for x, y in links:
+                root[x] = root[y] = min(root[x], root[y])
+        a, b = (np.array(x, np.int64) for x in zip(*links, strict=True))
+        node, top = forest(a, b)
+        assert dict(zip(node.tolist(), top.tolist(), strict=True)) == {x: root[x] for link in links for x in link if root[x] != x}
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_components_of_a_chain_a_star_and_nulls(spark, few):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(500)] + [(5, 5), (None, 3), (1, 0)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), few=few).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 500)}
 
 
