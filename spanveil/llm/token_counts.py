@@ -70,8 +70,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, most:
             for text in batch.column(1).cast(pa.binary()):
                 data = text.as_py()
                 counts = Counter(split(data))
-                other = counts.keys() - pieces.keys() if len(counts) < len(pieces) else {w for w in counts if w not in pieces}
-                rare = [(w, counts.pop(w)) for w in sorted(other)]
+                rare = [(w, counts.pop(w)) for w in [w for w in counts if w not in pieces]]
                 sizes.append(len(data))
                 totals.append(sum(map(mul, map(pieces.__getitem__, counts), counts.values())))
                 rest.append([{"word": w, "n": n} for w, n in rare])
