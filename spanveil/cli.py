@@ -22,9 +22,9 @@ def parser() -> argparse.ArgumentParser:
     does = top.add_subparsers(dest="command", required=True)
     for name in ("redact", "reveal"):
         one = does.add_parser(name)
-        one.add_argument("paths", nargs="+")
+        one.add_argument("paths", nargs="+", help="files and folders" + (", or - for a text on standard input" if name == "reveal" else ""))
         one.add_argument("--namespace", required=name == "reveal")
-        one.add_argument("--output-dir", required=True)
+        one.add_argument("--output-dir", required=name == "redact")
         if name == "redact":
             one.add_argument("--least", type=float, default=0.5, help="lowest score that counts")
     look = does.add_parser("lookup")
@@ -91,6 +91,13 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> int:
         found = session.lookup(args.token)
         print(found if found is not None else "not known", file=sys.stdout if found is not None else sys.stderr)
         return 0 if found is not None else 1
+    if args.command == "reveal" and args.paths == ["-"]:
+        text = spark.createDataFrame([(0, sys.stdin.read())], "doc_id long, text string")
+        print(session.revealed(text).first().revealed, end="")
+        return 0
+    if args.output_dir is None:
+        print("an output folder is needed for files", file=sys.stderr)
+        return 1
     files = read_files(spark, args.paths)
     if args.command == "redact":
         done = session.redacted_files(files)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import secrets
-from typing import Protocol, runtime_checkable
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol, runtime_checkable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +145,52 @@ class ParquetBackend:
         return True
 
 
+class ClientBackend:
+    """Records in a key-value server that expires them itself.
+
+    connect() makes a client in each task that needs one, with set(key, value, ex=seconds or
+    None), get(key), delete(key), ttl(key) (negative: none), scan_iter(pattern) and ping(),
+    as the usual clients of such servers have them.
+    """
+
+    def __init__(self, spark: SparkSession, connect: Callable[[], Any], pattern: str = "mapping:*"):
+        self.spark, self.connect, self.pattern = spark, connect, pattern
+
+    def put(self, rows: DataFrame) -> None:
+        connect = self.connect
+
+        def send(part):
+            client = connect()
+            for r in part:
+                client.set(r["key"], bytes(r["value"]), ex=r["seconds"])
+
+        seconds = F.when(F.col("expires_at").isNotNull(), F.greatest(F.unix_seconds("expires_at") - F.unix_seconds(F.current_timestamp()), F.lit(1)))
+        rows.select("key", "value", seconds.cast("int").alias("seconds")).foreachPartition(send)
+
+    def rows(self) -> DataFrame:
+        connect = self.connect
+        named = lambda key: key.decode() if isinstance(key, bytes) else key
+        keys = self.spark.createDataFrame([(named(k),) for k in connect().scan_iter(self.pattern)], "key string")
+
+        def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            client = connect()
+            for frame in frames:
+                got = [(k, client.get(k), client.ttl(k)) for k in frame["key"]]
+                yield pd.DataFrame([(k, v, float(t)) for k, v, t in got if v is not None], columns=["key", "value", "ttl"])
+
+        found = keys.mapInPandas(fetch, "key string, value binary, ttl double")
+        return found.select("key", "value", F.when(F.col("ttl") >= 0, F.timestamp_seconds(F.unix_seconds(F.current_timestamp()) + F.col("ttl").cast("long"))).alias("expires_at"))
+
+    def delete(self, key: str) -> None:
+        self.connect().delete(key)
+
+    def ping(self) -> bool:
+        try:
+            return bool(self.connect().ping())
+        except Exception:
+            return False
+
+
 def live(rows: DataFrame, now: Column | None = None) -> DataFrame:
     """Records that have not expired."""
     return rows.where(F.col("expires_at").isNull() | (F.col("expires_at") > (F.current_timestamp() if now is None else now)))

@@ -11,7 +11,7 @@ from spanveil.functions import text as T
 from spanveil.operators import detect, mapping, merge, plugins, reveal, splice, tables
 from spanveil.plans.session import RedactionSession, redact
 from spanveil.sources import bodies, files
-from spanveil.sources.store import MappingStore, MemoryBackend, Namespace, ParquetBackend, namespaces
+from spanveil.sources.store import ClientBackend, MappingStore, MemoryBackend, Namespace, ParquetBackend, namespaces
 from spanveil.streaming.incremental import redact_stream
 from spanveil.types import ENTITIES
 
@@ -222,7 +222,7 @@ def test_workbooks(spark):
     sheet = f'<worksheet {s} {odd}><sheetData>' + "".join(f'<row r="{i}">{r}</row>' for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
     one_row = f'<worksheet {s}><sheetData><row r="1">{text("A1", "Name")}</row></sheetData></worksheet>'
     book = zipped({"xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": one_row, "xl/sharedStrings.xml": shared})
-    session = RedactionSession(spark)
+    session = RedactionSession(spark, rules=FEW)
     df = spark.createDataFrame([("/b.xlsx", bytearray(book), files.XLSX), ("/a.txt", bytearray(b"no data"), "text/plain"), ("/c.xlsx", bytearray(b"no zip"), files.XLSX), ("/d.xlsx", None, files.XLSX)], "path string, content binary, mime_type string")
     done = {r.path: r for r in session.redacted_files(df).collect()}
     out = bytes(done["/b.xlsx"].output)
@@ -278,9 +278,34 @@ def test_bodies(spark):
     assert told["1"]["messages"][0]["role"] == "system" and "<<PII_1>>" in told["1"]["messages"][0]["content"] and told["2"]["system"][0]["type"] == "text"
 
 
+def folder_client(folder):
+    """A key-value client that keeps its records in a folder, so that all workers see them."""
+
+    class Client:
+        def set(self, key, value, ex=None):
+            (folder / key).write_bytes(f"{ex if ex is not None else -1}\n".encode() + value)
+
+        def get(self, key):
+            return (folder / key).read_bytes().split(b"\n", 1)[1] if (folder / key).exists() else None
+
+        def ttl(self, key):
+            return int((folder / key).read_bytes().split(b"\n", 1)[0])
+
+        def delete(self, key):
+            (folder / key).unlink(missing_ok=True)
+
+        def scan_iter(self, pattern):
+            return (x.name.encode() for x in folder.glob(pattern))
+
+        def ping(self):
+            return folder.exists()
+
+    return Client()
+
+
 def test_store(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "t", {"<<A_1>>": "x"}), ("r2", "t", {})], "request_id string, tenant_id string, mappings map<string,string>")
-    for backend in (MemoryBackend(spark), ParquetBackend(spark, str(tmp_path / "kv"))):
+    for backend in (MemoryBackend(spark), ParquetBackend(spark, str(tmp_path / "kv")), ClientBackend(spark, lambda: folder_client(tmp_path))):
         store = MappingStore(backend, b"0" * 32)
         assert store.load().count() == 0
         store.save(rows)
@@ -322,13 +347,16 @@ def test_stream_goes_on_where_a_session_ended(spark, tmp_path):
     assert {r.doc_id: r.redacted for r in spark.read.parquet(at("out")).collect()} == {1: "<<EMAIL_1>>", 2: "<<EMAIL_1>> <<EMAIL_2>>"}
 
 
-def test_cli(spark, tmp_path, capsys):
+def test_cli(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "a.txt").write_text("mail a@x.de")
     root = ["--root", str(tmp_path / "ns")]
     assert cli.run(spark, [*root, "redact", str(tmp_path / "a.txt"), "--namespace", "n", "--output-dir", str(tmp_path / "o")]) == 0
     assert (tmp_path / "o" / "a_redacted.txt").read_text() == "mail <<EMAIL_1>>"
     assert cli.run(spark, [*root, "reveal", str(tmp_path / "o" / "a_redacted.txt"), "--namespace", "n", "--output-dir", str(tmp_path / "b")]) == 0
     assert (tmp_path / "b" / "a_redacted.txt").read_text() == "mail a@x.de"
+    monkeypatch.setattr("sys.stdin", io.StringIO("to <<EMAIL_1>> and « email_1 »\n"))
+    capsys.readouterr()
+    assert cli.run(spark, [*root, "reveal", "-", "--namespace", "n"]) == 0 and capsys.readouterr().out == "to a@x.de and a@x.de\n"
     assert cli.run(spark, [*root, "lookup", "<<EMAIL_1>>", "--namespace", "n"]) == 0 and cli.run(spark, [*root, "lookup", "<<X_1>>", "--namespace", "n"]) == 1
     capsys.readouterr()
     assert cli.run(spark, [*root, "ns", "show", "n"]) == 2 and "a@x.de" not in capsys.readouterr().out
