@@ -48,12 +48,13 @@ def sums_by_bit(hashes: np.ndarray) -> np.ndarray:
     """For 64-bit hashes (rows, columns): in how many rows each bit is set.
 
     Added up in binary: three rows of one weight become one of that weight and one of
-    twice that.
+    twice that, until so few are left that their bits are added one by one.
     """
     counts, weight, level = np.zeros(hashes.shape[1] * BITS, np.int64), 1, hashes
+    few = max(2, 2048 // hashes.shape[1])
     while len(level):
         carried = []
-        while len(level) > 2:
+        while len(level) > few:
             k = len(level) // 3
             a, b, c, rest = level[:k], level[k : 2 * k], level[2 * k : 3 * k], level[3 * k :]
             odd = a ^ b

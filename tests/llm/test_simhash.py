@@ -125,3 +125,11 @@ def test_components_of_a_chain_a_star_and_nulls(spark, few):
 def test_fingerprint_takes_half_for_zero():
     two = [xxhash.xxh64_intdigest(x, 42) for x in (b"a b c d", b"b c d e")]
     assert fingerprint(b"a b C d e") == two[0] & two[1]
+
+
+def test_sums_by_bit():
+    r = np.random.default_rng(1)
+    for rows, columns in ((0, 1), (1, 1), (5, 18), (2100, 1), (5000, 1), (700, 18)):
+        hashes = r.integers(0, 2**63, (rows, columns), np.uint64)
+        want = [sum(int(x) >> b & 1 for x in hashes[:, c]) for c in range(columns) for b in range(64)]
+        assert simhash.sums_by_bit(hashes).tolist() == want
