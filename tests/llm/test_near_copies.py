@@ -73,6 +73,38 @@ def test_large_groups_chains_and_edge_cases(spark, block, many):
     assert {x.doc_id: x.component_id for x in got} == {i: g[0] for g in want for i in g}
 
 
+def crowd_below(r, n, families):
+    """Families of copies; texts of different families are below 0.8, most of them just so. None is from 0.77 to 0.85."""
+    base, rows, sets = [f"w{k}" for k in range(200)], [], []
+    firsts = [[(r.randrange(200), f"u{f}_{k}") for k in range(2)] for f in range(families)]
+    while len(rows) < n:
+        copy = list(base)
+        for k, word in [*r.choice(firsts), (r.randrange(200), f"v{r.randrange(10**6)}")]:
+            copy[k] = word
+        own = shingles(" ".join(copy).encode(), 5)
+        if not any(0.77 <= similarity(own, x) < 0.85 for x in sets):
+            sets.append(own)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_rows_of_a_large_group_grow_with_its_texts_not_with_its_pairs(spark, monkeypatch):
+    rows, listed, held = crowd_below(random.Random(9), 400, 60), [], near_copies.screened
+    monkeypatch.setattr(near_copies, "screened", lambda pairs, *how: listed.append(pairs.count()) or held(pairs, *how))
+    want = [g for g in brute_groups(rows) if len(g) > 1]
+    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: g[0] for g in want for i in g}
+    assert len(want) > 10 and sum(listed) < 10 * len(rows), (len(want), listed)
+
+
+@pytest.mark.parametrize("many", [3, 0])
+def test_parts_of_a_crowd_meet_each_other(spark, many):
+    rows = [*crowd_below(random.Random(10), 200, 30), (1_000, "One"), (1_001, "one")]
+    want = [g for g in brute_groups(rows) if len(g) > 1]
+    got = similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), many=many, tile=30).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: g[0] for g in want for i in g} and len(want) > 10
+
+
 def test_an_id_with_two_texts_loses_only_the_copy(spark):
     r = random.Random(6)
     (a, b), (c, d), (e, f) = (copies_at(r, 0.85, 0.95) for _ in range(3))
