@@ -227,7 +227,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, tex
             if batch.num_rows:
                 yield batch.filter(pa.array(own.scores([x or "" for x in batch.column(at).to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    # mapInArrow takes names with dots for fields of structs
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id"):
