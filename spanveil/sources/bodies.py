@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import base64
-import copy
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import text as T
+from spanveil.functions.rows import by_row
 from spanveil.sources.files import REBUILT
 
 DIALECTS = ("openai_chat", "openai_responses", "anthropic")
@@ -79,24 +78,19 @@ def blocks(bodies: DataFrame) -> DataFrame:
     return out.where("content IS NOT NULL")
 
 
-def _patched(frame: DataFrame, change: Callable[[dict, pd.Series], dict], columns: list[str]) -> DataFrame:
+def _patched(frame: DataFrame, change: Callable[[dict, tuple], dict], columns: list[str]) -> DataFrame:
     """frame with `body` rewritten by `change`; a body that is no JSON object stays as it is."""
 
-    def one(row) -> str | None:
+    def one(*scalars) -> str | None:
+        row = tuple(x.as_py() for x in scalars)
         try:
-            body = json.loads(row.body)
+            body = json.loads(row[0])
         except (TypeError, ValueError):
-            return row.body
-        return json.dumps(change(copy.deepcopy(body), row), ensure_ascii=False) if isinstance(body, dict) else row.body
+            return row[0]
+        return json.dumps(change(body, row), ensure_ascii=False) if isinstance(body, dict) else row[0]
 
-    schema = frame.schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            pdf["body"] = [one(r) for r in pdf[["body", *columns]].itertuples(index=False)]
-            yield pdf
-
-    return frame.mapInPandas(run, schema)
+    once = by_row("string", one).asNondeterministic()  # else filters on the new body call it again
+    return frame.withColumn("body", once("body", *columns))
 
 
 def _slot(body: dict, path: str):
